@@ -178,15 +178,15 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         at = to
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], fn: Callable[..., dict], fields: list[tuple[str, str]], given: list | None = None) -> DataFrame:
-    """Apply ``fn(rows, texts)`` to chunks; returns ``row`` (a struct of ``keep``) and the new ``fields``.
+def map_texts(df: DataFrame, text, keep: list[str], fn: Callable[..., dict], fields: list[tuple[str, str]], given: list | None = None) -> DataFrame:
+    """Apply ``fn(rows, texts)`` to chunks of the column ``text`` (a name or a Column); returns ``row`` (a struct of ``keep``) and the new ``fields``.
 
     The kept columns travel inside the struct ``row``, so their names cannot clash with new ones.
     ``given``: more columns for ``fn(rows, texts, *given)``.  ``fn`` returns arrays by field name,
     and returns ``__take__`` (row numbers) when it emits another number of rows than it was given.
     """
     more = [F.col(c) if isinstance(c, str) else c for c in given or []]
-    src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), *[c.alias(f"g{i}") for i, c in enumerate(more)])
+    src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), (F.col(f"`{text}`") if isinstance(text, str) else text).cast("string").alias("text"), *[c.alias(f"g{i}") for i, c in enumerate(more)])
     names = [name for name, _ in fields]
     schema = T.StructType([T.StructField("row", src.schema["row"].dataType), *T.StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in fields))])
 

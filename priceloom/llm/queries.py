@@ -18,6 +18,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and each benchmark item that it leaks; start and end count code points."""
+    from .decontaminate import leaks
+
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("row.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -32,7 +40,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_line_dedup, op6_simhash, op7_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_simhash, op7_quality_rules)}
 
 #: White space of the contracts, for DuckDB's trim().
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
