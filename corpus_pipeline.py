@@ -1,12 +1,61 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, tokenisation."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, tokenisation.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a
+DataFrame with the columns of ``documents``; the last one adds the token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: rejected documents go."""
+    from priceloom.llm.quality_rules import quality_rules
+
+    return quality_rules(docs).where("kept").select("row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: repeated lines go; text and n_chars are those of the lines that stay."""
+    from priceloom.llm.line_dedup import line_dedup
+
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept_text"))
+    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    return line_dedup(docs).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: the document with the least id of each group stays (rows repeated with one id stay together)."""
+    from priceloom.llm.simhash import near_dedup
+
+    gone = near_dedup(docs).where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.id), "left_anti")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that hold a benchmark item go."""
+    from priceloom.llm.decontaminate import leaks
+
+    return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("leaks") == 0).select("row.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: token ids, and whether decoding them gives the text again."""
+    import public_tokenizers
+
+    from priceloom.llm.bpe import decode, encode, read_ranks
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = encode(docs, ranks, public_tokenizers.PATTERN).select("row.*", "ids")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return decode(coded, ranks).select(*docs.columns, F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
+
 
-STAGES: list = []
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_copies), ("decontaminate", benchmark), ("bpe", tokens)]
 
-#: Several stages (polynomial hashing, SimHash, byte-pair merges) cannot be written in SQL.
+#: SimHash and byte-pair merges cannot be written in SQL; tests hold the result against brute force.
 ORACLE_SQL = None
 
 
