@@ -51,7 +51,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(coded, ranks, keep=["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_simhash, op7_quality_rules, op8_bpe)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import URN, round_trip
+
+    page = lambda c: F.regexp_extract(c, f"^{URN}(-?[0-9]+)$", 1).try_cast("bigint")
+    back = round_trip(table(spark, sf_dir, "pages"))
+    return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_simhash, op7_quality_rules, op8_bpe, op10_warc)}
 
 #: White space of the contracts, for DuckDB's trim().
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
