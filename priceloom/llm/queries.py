@@ -33,6 +33,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_dedup
 
@@ -59,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_simhash, op7_quality_rules, op8_bpe, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op5_license_scan, op6_simhash, op7_quality_rules, op8_bpe, op10_warc)}
 
 #: White space of the contracts, for DuckDB's trim().
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
