@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(coded, ranks, keep=["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def remainder(doc_id: str, divisor: int) -> Column:
+    """crc32 of the id as text (null: empty) modulo ``divisor``."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    out = identify(table(spark, sf_dir, "documents"), remainder("doc_id", 4) != 2, keep=["doc_id"])
+    return out.select("row.doc_id", (remainder("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import URN, round_trip
 
@@ -65,7 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op5_license_scan, op6_simhash, op7_quality_rules, op8_bpe, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op5_license_scan, op6_simhash, op7_quality_rules, op8_bpe, op9_language_id, op10_warc)}
 
 #: White space of the contracts, for DuckDB's trim().
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
