@@ -144,31 +144,31 @@ def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str,
 
 
 class HotWords:
-    """Words by 64-bit hash, with their ids."""
+    """Words by 64-bit hash; numbered by falling frequency, from 1, with their ids."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        word = _one(table.column("word"), pa.large_string())
-        keys = hashes(word)
+        order = np.argsort(-table.column("n").to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        keys = hashes(_one(table.column("word"), pa.large_string()))
         ids = _one(table.column("ids"), pa.large_list(pa.int32()))
-        order = np.argsort(keys)
-        ids = ids.take(pa.array(order))
-        self.keys = keys[order]
-        self.off = ids.offsets.to_numpy().astype(np.int64)
-        self.ids = ids.values.to_numpy()[self.off[0] : self.off[-1]].astype(np.int32)
-        self.off = self.off - self.off[0]
+        off = ids.offsets.to_numpy().astype(np.int64)
+        self.ids = ids.values.to_numpy()[off[0] : off[-1]].astype(np.int32)
+        self.off = np.concatenate([[0], off - off[0]])  # number 0, a gap, has no ids
+        self.number = np.argsort(keys)
+        self.keys = keys[self.number]
+        self.number = (self.number + 1).astype(np.uint32)
         self.shift = C.U64(64 - max(1, len(keys).bit_length() + 1))
         self.start = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=C.U64)).astype(np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """The word number of each hash, or -1."""
+        """The word number of each hash, or 0."""
         slot = (h >> self.shift).astype(np.int64)
         at, stop = self.start[slot], self.start[slot + 1]
-        out = np.full(len(h), -1, np.int64)
+        out = np.zeros(len(h), np.uint32)
         todo = np.flatnonzero(at < stop)
         while len(todo):
             good = self.keys[at[todo]] == h[todo]
-            out[todo[good]] = at[todo[good]]
+            out[todo[good]] = self.number[at[todo[good]]]
             todo = todo[~good]
             at[todo] += 1
             todo = todo[at[todo] < stop[todo]]
@@ -181,8 +181,11 @@ def _one(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
 
 
 def hashes(strings: pa.Array) -> np.ndarray:
-    flat = C.Flat(strings)
-    return C.Rolling(flat.data).ranges(flat.off[:-1], flat.off[1:])
+    out = [np.zeros(0, C.U64)]
+    for at in range(0, len(strings), 1 << 17):
+        flat = C.Flat(strings.slice(at, 1 << 17))
+        out.append(C.Rolling(flat.data).ranges(flat.off[:-1], flat.off[1:]))
+    return np.concatenate(out)
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -195,7 +198,7 @@ def hot_words(table: DataFrame, most: int) -> pa.Table:
     """The most frequent words: all whose count is at least the least count that keeps them within ``most``."""
     counts = table.groupBy("n").agg(F.count(F.lit(1)).alias("words")).select("n", "words", F.sum("words").over(_by_count()).alias("upto"))
     least = counts.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
-    return table.where(F.col("n") >= (least if least is not None else 2**62)).select("word", "ids").toArrow()
+    return table.where(F.col("n") >= (least if least is not None else 2**62)).select("word", "n", "ids").toArrow()
 
 
 def _by_count():
@@ -210,58 +213,52 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     table = dictionary(df, text, ranks, pattern, long)
     held = spark.sparkContext.broadcast(HotWords(hot_words(table, hot)))
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"), words(F.col(f"`{text}`"), pattern).alias("words"))
-    wide = np.int32 if max(ranks.values(), default=0) > 60_000 else np.uint16
 
     def fill(batches):
-        known, pack = held.value, zstandard.ZstdCompressor(level=1)
+        known, pack = held.value, zstandard.ZstdCompressor(level=3)
         for batch in batches:
             lists = batch.column(1).cast(pa.large_list(pa.large_string()))
             bounds = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
-            flat = lists.values
             at = 0
             while at < len(lists):
-                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 18), "right")) - 1)
-                part = flat.slice(bounds[at], bounds[to] - bounds[at])
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 17), "right")) - 1)
+                part = lists.values.slice(bounds[at], bounds[to] - bounds[at])
                 found = known.find(hashes(part))
-                size = np.where(found >= 0, known.off[found + 1] - known.off[found], 0)
                 cut = bounds[at : to + 1] - bounds[at]
-                ids = gather(known.ids, np.where(found >= 0, known.off[found], 0), size)
-                upto = np.concatenate([[0], np.cumsum(size)])
-                gaps = np.flatnonzero(found < 0)
+                gaps = np.flatnonzero(found == 0)
                 gap_words, gap_cut = part.take(pa.array(gaps)).to_pylist(), np.searchsorted(gaps, cut)
-                blobs, missing, places = [], [], []
-                for i in range(to - at):
-                    raw = ids[upto[cut[i]] : upto[cut[i + 1]]].astype(wide).view(np.uint8).reshape(-1, wide().itemsize)
-                    blobs.append(pack.compress(raw.T.tobytes()))
-                    a, z = gap_cut[i], gap_cut[i + 1]
-                    missing.append(gap_words[a:z])
-                    places.append((upto[gaps[a:z]] - upto[cut[i]]).tolist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(blobs, pa.binary()), pa.array(missing, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64()))], names=["row", "blob", "words", "places"])
+                blobs = [pack.compress(np.ascontiguousarray(found[a:z].view(np.uint8).reshape(-1, 4).T).tobytes()) for a, z in zip(cut, cut[1:])]
+                missing = [gap_words[a:z] for a, z in zip(gap_cut, gap_cut[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(blobs, pa.binary()), pa.array(missing, pa.list_(pa.string()))], names=["row", "blob", "words"])
                 at = to
 
-    schema = T.StructType([src.schema["row"], *T.StructType.fromDDL("blob binary, words array<string>, places array<bigint>")])
+    schema = T.StructType([src.schema["row"], *T.StructType.fromDDL("blob binary, words array<string>")])
     coded = C.materialize(src.mapInArrow(fill, schema).withColumn("key", F.monotonically_increasing_id()), "encoded")
 
     def unpack(batches):
-        open_ = zstandard.ZstdDecompressor()
+        known, open_ = held.value, zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             gaps = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
             for blob, gap in zip(batch.column(1).to_pylist(), gaps):
-                ids = np.frombuffer(open_.decompress(blob), np.uint8).reshape(wide().itemsize, -1).T.copy().view(wide).ravel().astype(np.int32)
+                number = np.frombuffer(open_.decompress(blob), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+                size = known.off[number + 1] - known.off[number] if len(known.off) > 1 else np.zeros(len(number), np.int64)
+                size[number == 0] = 0
+                ids = gather(known.ids, known.off[number], size)
                 if gap:
                     gap.sort(key=lambda g: g["j"])
-                    ids = np.insert(ids, np.repeat([g["place"] for g in gap], [len(g["ids"]) for g in gap]), np.concatenate([g["ids"] for g in gap]))
+                    place = (np.cumsum(size) - size)[number == 0]
+                    ids = np.insert(ids, np.repeat(place, [len(g["ids"]) for g in gap]), np.concatenate([g["ids"] for g in gap]))
                 out.append(ids)
             off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
+            values = pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off), values)], names=["row", "ids"])
 
     schema = T.StructType([src.schema["row"], *T.StructType.fromDDL("ids array<int>")])
     whole = coded.where(F.size("words") == 0).select("row", "blob").mapInArrow(unpack, schema)
     gap = coded.where(F.size("words") > 0)
-    asked = gap.select("key", F.posexplode(F.arrays_zip("words", "places")).alias("j", "w")).select("key", "j", F.col("w.words").alias("word"), F.col("w.places").alias("place"))
-    got = asked.join(table.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("j", "place", "ids")).alias("gaps"))
+    asked = gap.select("key", F.posexplode("words").alias("j", "word"))
+    got = asked.join(table.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("j", "ids")).alias("gaps"))
     return whole.union(gap.join(got, "key").select("row", "blob", "gaps").mapInArrow(unpack, schema))
 
 
