@@ -88,8 +88,11 @@ class Index:
         return np.repeat(at, many), self.item[post], self.place[post]
 
 
-def align(item: bytes, region: bytes, low: int, high: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the best occurrence of ``item`` in ``region`` on diagonals low..high (start - item position)."""
+def align(item: bytes, region: bytes, low: int, high: int, budget: int) -> tuple[int, int, int]:
+    """(edits, start, end) of the best occurrence of ``item`` in ``region`` on diagonals low..high (start - item position).
+
+    The least cost of a row never falls again, so a row beyond ``budget`` ends the alignment.
+    """
     width = high - low + 1
     text = np.frombuffer(region, np.uint8)
     diag = np.arange(low, high + 1)
@@ -97,19 +100,26 @@ def align(item: bytes, region: bytes, low: int, high: int) -> tuple[int, int, in
     cost = np.where((diag >= 0) & (diag <= len(text)), 0, big)
     start = diag.copy()
     lane = np.arange(width)
+    edge = max(0, -low)
+    padded = np.zeros(edge + max(len(text), high + len(item) + 1), np.int16)
+    padded[edge : edge + len(text)] = text
+    skip, after = np.full(width, big), np.zeros(width, start.dtype)
     for i, ch in enumerate(item):
         j = diag + i  # the text byte taken by a match or substitution
-        inside = (j >= 0) & (j < len(text))
-        sub = np.where(inside, cost + (text[np.clip(j, 0, max(0, len(text) - 1))] != ch if len(text) else 1), big)
-        skip = np.full(width, big)
+        sub = cost + (padded[low + i + edge : low + i + edge + width] != ch)
+        sub[(j < 0) | (j >= len(text))] = big
         skip[:-1] = cost[1:] + 1  # the item byte has no partner: the diagonal falls by one
         new = np.minimum(sub, skip)
-        origin = np.where(sub <= skip, start, np.append(start[1:], 0))
-        new = np.where(j + 1 < 0, big, np.where(j + 1 > len(text), big, new))
+        after[:-1] = start[1:]
+        origin = np.where(sub <= skip, start, after)
+        new[(j < -1) | (j >= len(text))] = big
         shifted = new - lane  # extra text bytes: the diagonal rises by one
         best = np.minimum.accumulate(shifted)
         source = np.maximum.accumulate(np.where(shifted == best, lane, 0))
-        cost, start = np.where(j + 1 <= len(text), best + lane, big), origin[source]
+        cost, start = best + lane, origin[source]
+        cost[j >= len(text)] = big
+        if cost.min() > budget:
+            return big, 0, 0
     k = int(np.argmin(cost))
     return int(cost[k]), int(start[k]), int(diag[k] + len(item))
 
@@ -130,15 +140,22 @@ def search(index: Index, texts: pa.Array) -> list[list[tuple[int, int, int, int]
         step = index.budget[item] + 1
         diagonal = at - bounds[doc] - place
         band = diagonal // step
-        rows = np.concatenate([np.stack([doc, item, b], 1) for b in (band, band - 1)])
-        rows, count = np.unique(rows, axis=0, return_counts=True)
-        for d, i, b in rows[count >= index.need[rows[:, 1]]].tolist():
+        # one number for (text, item, band); each hit counts in its band and in the one before
+        least, span_ = int(band.min()) - 1, int(band.max()) - int(band.min()) + 2
+        key = (doc * len(index.ids) + item) * span_ + band - least
+        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        pair = key // span_
+        full = count >= index.need[pair % len(index.ids)]
+        for k in np.flatnonzero(full)[np.argsort(-count[full], kind="stable")].tolist():
+            d, i, b = int(pair[k]) // len(index.ids), int(pair[k]) % len(index.ids), int(key[k]) % span_ + least
+            if i in out[d] and not out[d][i][0]:
+                continue
             e, m = int(index.budget[i]), int(index.length[i])
             low, high = b * (e + 1) - e, (b + 2) * (e + 1) - 1 + e
             begin, stop = max(0, low), min(int(bounds[d + 1] - bounds[d]), high + m)
             region = raw[bounds[d] + begin : bounds[d] + stop]
             exact = region.find(index.text[i])
-            edits, s, t = (0, exact, exact + m) if exact >= 0 else align(index.text[i], region, low - begin, high - begin)
+            edits, s, t = (0, exact, exact + m) if exact >= 0 else align(index.text[i], region, low - begin, high - begin, e)
             if edits <= e and (i not in out[d] or out[d][i][0] > edits):
                 out[d][i] = (edits, begin + s, begin + t)
     for i in index.short:
