@@ -26,6 +26,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_tree import score
+
+    out = score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2, keep=["doc_id"])
+    return out.select("row.doc_id", (remainder("row.doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -77,7 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op5_license_scan, op6_simhash, op7_quality_rules, op8_bpe, op9_language_id, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_context_tree, op4_line_dedup, op5_license_scan, op6_simhash, op7_quality_rules, op8_bpe, op9_language_id, op10_warc)}
 
 #: White space of the contracts, for DuckDB's trim().
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
