@@ -18,6 +18,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the documents' sources, paths their languages within a source."""
+    from .quality_classifier import classify
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return classify(docs, labels, F.col("source"), F.col("lang"), keep=["doc_id"]).select("row.doc_id", "evidence", "host_rate", "path_rate", "quality", F.col("good").alias("kept"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and each benchmark item that it leaks; start and end count code points."""
     from .decontaminate import leaks
@@ -84,7 +92,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_context_tree, op4_line_dedup, op5_license_scan, op6_simhash, op7_quality_rules, op8_bpe, op9_language_id, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_decontaminate, op3_context_tree, op4_line_dedup, op5_license_scan, op6_simhash, op7_quality_rules, op8_bpe, op9_language_id, op10_warc)}
 
 #: White space of the contracts, for DuckDB's trim().
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
