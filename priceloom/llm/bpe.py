@@ -2,19 +2,20 @@
 
 Encoding
 1. Texts are split by the tokenizer's pattern in the JVM; the distinct words are counted.
-2. Spark's higher-order functions fold the ranked merges over the bytes of each distinct word
+2. Spark's higher-order functions fold the ranked merges over the bytes of a distinct word
    (``fold_merges``): the lowest rank, leftmost first, is merged until none is left.  The rank map
    is a literal: an array of small maps, so that a look-up scans one bucket.  Bytes are carried as the
-   characters U+0000 to U+00FF, which the map's keys use too.  Words of more than ``LONG`` bytes would
-   make the fold quadratic; those few are merged with a heap instead, with the same outcome.
-3. The ``HOT`` most frequent words (a fixed bound) are broadcast as sorted hashes with their ids, and
-   documents are encoded in place.  A word outside that table leaves a numbered gap; gaps are filled by
-   a join of (row, word) with the dictionary, and only rows with gaps take part.  No word is dropped.
+   characters U+0000 to U+00FF, which the map's keys use too.
+3. The ``HOT`` most frequent words (a fixed bound) are folded once; their hashes and ids are
+   broadcast, and documents are encoded in place.  The words of a document outside that table are
+   folded in its own row by the same expression, and fill the gaps.  No word is dropped and no
+   document is shuffled.
+Words of more than ``LONG`` bytes would make the fold quadratic; those few are merged with a heap
+instead, with the same outcome.
 
 Decoding concatenates the binary pieces of the ids.
 
-Null and empty texts have no ids.  Rows are told apart by a key of their own, so repeated rows and
-null ids need no care.
+Null and empty texts have no ids.  Rows stay rows, so repeated rows and null ids need no care.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,10 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    return merge_long(word, ranks) if (one := ranks.get(word)) is None else [one]
+
+
 # ---------------------------------------------------------------- documents
 
 
@@ -127,22 +131,6 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, long: int = LONG) -> DataFrame:
-    """(word, n, ids) of every distinct word of the corpus."""
-    counted = df.select(F.explode(words(F.col(f"`{text}`"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counted = C.materialize(counted, "words")
-    folded = counted.where(F.octet_length("word") <= long).select("word", "n", fold_merges(F.col("word"), ranks).alias("ids"))
-    held = df.sparkSession.sparkContext.broadcast(ranks)
-
-    def heaps(batches):
-        for batch in batches:
-            ids = [merge_long(w.encode(), held.value) if (one := held.value.get(w.encode())) is None else [one] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    rest = counted.where(F.octet_length("word") > long).mapInArrow(heaps, "word string, n bigint, ids array<int>")
-    return C.materialize(folded.union(rest), "dictionary")
-
-
 class HotWords:
     """Words by 64-bit hash; numbered by falling frequency, from 1, with their ids."""
 
@@ -194,28 +182,25 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])]
 
 
-def hot_words(table: DataFrame, most: int) -> pa.Table:
+def hot_words(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, most: int, long: int) -> HotWords:
     """The most frequent words: all whose count is at least the least count that keeps them within ``most``."""
-    counts = table.groupBy("n").agg(F.count(F.lit(1)).alias("words")).select("n", "words", F.sum("words").over(_by_count()).alias("upto"))
-    least = counts.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
-    return table.where(F.col("n") >= (least if least is not None else 2**62)).select("word", "n", "ids").toArrow()
-
-
-def _by_count():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("n"))
+    counted = df.select(F.explode(words(F.col(f"`{text}`"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = C.materialize(counted.where(F.octet_length("word") <= long), "words")
+    counts = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    upto = counts.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("upto"))
+    least = upto.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    hot = counted.where(F.col("n") >= (least if least is not None else 2**62))
+    return HotWords(hot.select("word", "n", fold_merges(F.col("word"), ranks).alias("ids")).toArrow())
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, hot: int = HOT, long: int = LONG) -> DataFrame:
     """``row`` (struct of ``keep``) and ``ids``, the token ids of the text."""
-    spark = df.sparkSession
-    table = dictionary(df, text, ranks, pattern, long)
-    held = spark.sparkContext.broadcast(HotWords(hot_words(table, hot)))
+    sc = df.sparkSession.sparkContext
+    held, held_ranks = sc.broadcast(hot_words(df, text, ranks, pattern, hot, long)), sc.broadcast(ranks)
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"), words(F.col(f"`{text}`"), pattern).alias("words"))
 
     def fill(batches):
-        known, pack = held.value, zstandard.ZstdCompressor(level=3)
+        known = held.value
         for batch in batches:
             lists = batch.column(1).cast(pa.large_list(pa.large_string()))
             bounds = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
@@ -226,40 +211,32 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                 found = known.find(hashes(part))
                 cut = bounds[at : to + 1] - bounds[at]
                 gaps = np.flatnonzero(found == 0)
-                gap_words, gap_cut = part.take(pa.array(gaps)).to_pylist(), np.searchsorted(gaps, cut)
-                blobs = [pack.compress(np.ascontiguousarray(found[a:z].view(np.uint8).reshape(-1, 4).T).tobytes()) for a, z in zip(cut, cut[1:])]
-                missing = [gap_words[a:z] for a, z in zip(gap_cut, gap_cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(blobs, pa.binary()), pa.array(missing, pa.list_(pa.string()))], names=["row", "blob", "words"])
+                gap_cut = pa.array(np.searchsorted(gaps, cut).astype(np.int32))
+                numbers = [found[a:z].tobytes() for a, z in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(numbers, pa.binary()), pa.ListArray.from_arrays(gap_cut, part.take(pa.array(gaps)).cast(pa.string()))], names=["row", "numbers", "gaps"])
                 at = to
 
-    schema = T.StructType([src.schema["row"], *T.StructType.fromDDL("blob binary, words array<string>")])
-    coded = C.materialize(src.mapInArrow(fill, schema).withColumn("key", F.monotonically_increasing_id()), "encoded")
-
     def unpack(batches):
-        known, open_ = held.value, zstandard.ZstdDecompressor()
+        known = held.value
         for batch in batches:
             out = []
-            gaps = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for blob, gap in zip(batch.column(1).to_pylist(), gaps):
-                number = np.frombuffer(open_.decompress(blob), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+            for numbers, gaps, folded in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                number = np.frombuffer(numbers, np.uint32).astype(np.int64)
                 size = known.off[number + 1] - known.off[number] if len(known.off) > 1 else np.zeros(len(number), np.int64)
                 size[number == 0] = 0
                 ids = gather(known.ids, known.off[number], size)
-                if gap:
-                    gap.sort(key=lambda g: g["j"])
+                if gaps:
+                    folded = [merge_word(w.encode(), held_ranks.value) if one is None else one for w, one in zip(gaps, folded)]
                     place = (np.cumsum(size) - size)[number == 0]
-                    ids = np.insert(ids, np.repeat(place, [len(g["ids"]) for g in gap]), np.concatenate([g["ids"] for g in gap]))
+                    ids = np.insert(ids, np.repeat(place, [len(x) for x in folded]), np.concatenate(folded))
                 out.append(ids)
             off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             values = pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off), values)], names=["row", "ids"])
 
-    schema = T.StructType([src.schema["row"], *T.StructType.fromDDL("ids array<int>")])
-    whole = coded.where(F.size("words") == 0).select("row", "blob").mapInArrow(unpack, schema)
-    gap = coded.where(F.size("words") > 0)
-    asked = gap.select("key", F.posexplode("words").alias("j", "word"))
-    got = asked.join(table.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("j", "ids")).alias("gaps"))
-    return whole.union(gap.join(got, "key").select("row", "blob", "gaps").mapInArrow(unpack, schema))
+    filled = src.mapInArrow(fill, T.StructType([src.schema["row"], *T.StructType.fromDDL("numbers binary, gaps array<string>")]))
+    folded = filled.withColumn("folded", F.transform("gaps", lambda w: F.when(F.octet_length(w) <= long, fold_merges(w, ranks))))
+    return folded.mapInArrow(unpack, T.StructType([src.schema["row"], *T.StructType.fromDDL("ids array<int>")]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
