@@ -202,8 +202,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     def fill(batches):
         known = held.value
         for batch in batches:
-            lists = batch.column(1).cast(pa.large_list(pa.large_string()))
-            bounds = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+            lists = batch.column(1)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
             at = 0
             while at < len(lists):
                 to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 17), "right")) - 1)
@@ -216,23 +216,25 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(numbers, pa.binary()), pa.ListArray.from_arrays(gap_cut, part.take(pa.array(gaps)).cast(pa.string()))], names=["row", "numbers", "gaps"])
                 at = to
 
-    def unpack(batches):
+    def one(numbers: bytes, gaps: list[str], folded: list) -> np.ndarray:
         known = held.value
+        number = np.frombuffer(numbers, np.uint32).astype(np.int64)
+        size = known.off[number + 1] - known.off[number] if len(known.off) > 1 else np.zeros(len(number), np.int64)
+        size[number == 0] = 0
+        ids = gather(known.ids, known.off[number], size)
+        if gaps:
+            folded = [merge_word(w.encode(), held_ranks.value) if x is None else x for w, x in zip(gaps, folded)]
+            place = (np.cumsum(size) - size)[number == 0]
+            ids = np.insert(ids, np.repeat(place, [len(x) for x in folded]), np.concatenate(folded))
+        return ids.astype(np.int32)
+
+    def unpack(batches):
         for batch in batches:
-            out = []
-            for numbers, gaps, folded in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                number = np.frombuffer(numbers, np.uint32).astype(np.int64)
-                size = known.off[number + 1] - known.off[number] if len(known.off) > 1 else np.zeros(len(number), np.int64)
-                size[number == 0] = 0
-                ids = gather(known.ids, known.off[number], size)
-                if gaps:
-                    folded = [merge_word(w.encode(), held_ranks.value) if one is None else one for w, one in zip(gaps, folded)]
-                    place = (np.cumsum(size) - size)[number == 0]
-                    ids = np.insert(ids, np.repeat(place, [len(x) for x in folded]), np.concatenate(folded))
-                out.append(ids)
-            off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            values = pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off), values)], names=["row", "ids"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = [one(*x) for x in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))]
+                off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out), pa.int32()))], names=["row", "ids"])
 
     filled = src.mapInArrow(fill, T.StructType([src.schema["row"], *T.StructType.fromDDL("numbers binary, gaps array<string>")]))
     folded = filled.withColumn("folded", F.transform("gaps", lambda w: F.when(F.octet_length(w) <= long, fold_merges(w, ranks))))
@@ -240,28 +242,14 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """``encoded``'s columns ``keep`` with ``decoded``: the concatenated pieces of ``ids``, as binary."""
-    keep = keep if keep is not None else encoded.columns
-    n = max(ranks.values(), default=-1) + 1
-    pieces = [b""] * n
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])))
-    src = encoded.select(F.col(f"`{ids}`").cast("array<int>").alias("__ids"), *[F.col(f"`{c}`") for c in keep])
+    """``encoded``'s columns ``keep`` with ``decoded``: the concatenated pieces of ``ids``, as binary.
 
-    def run(batches):
-        data, off = held.value
-        for batch in batches:
-            lists = batch.column(0).cast(pa.large_list(pa.int32()))
-            bounds = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
-            flat, out, at = lists.values.to_numpy(), [], 0
-            while at < len(lists):
-                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 18), "right")) - 1)
-                part = flat[bounds[at] : bounds[to]]
-                size = off[part + 1] - off[part]
-                raw, upto = gather(data, off[part], size).tobytes(), np.concatenate([[0], np.cumsum(size)])[bounds[at : to + 1] - bounds[at]]
-                out += [raw[a:z] for a, z in zip(upto, upto[1:])]
-                at = to
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], names=[*keep, "decoded"])
-
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[1:], *T.StructType.fromDDL("decoded binary")]))
+    The pieces are a literal array; their bytes are carried as the characters U+0000 to U+00FF, so that
+    one array_join concatenates them.
+    """
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    table = F.from_json(F.lit(json.dumps(pieces)), T.ArrayType(T.StringType()))
+    text = F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: F.get(table, i)), "")
+    return encoded.select(*[F.col(f"`{c}`") for c in (keep if keep is not None else encoded.columns)], F.encode(text, "ISO-8859-1").alias("decoded"))
