@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 HOT, LONG, BUCKETS = 1 << 20, 256, 1 << 16
+#: Characters of a plan's description; the driver keeps those of past queries, and the rank map would fill them.
+PLAN_CHARS = 1 << 16
 _NONE = 2**31 - 1
 
 
@@ -190,12 +192,15 @@ def hot_words(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, m
     upto = counts.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("upto"))
     least = upto.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
     hot = counted.where(F.col("n") >= (least if least is not None else 2**62))
-    return HotWords(hot.select("word", "n", fold_merges(F.col("word"), ranks).alias("ids")).toArrow())
+    out = HotWords(hot.select("word", "n", fold_merges(F.col("word"), ranks).alias("ids")).toArrow())
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, hot: int = HOT, long: int = LONG) -> DataFrame:
     """``row`` (struct of ``keep``) and ``ids``, the token ids of the text."""
     sc = df.sparkSession.sparkContext
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     held, held_ranks = sc.broadcast(hot_words(df, text, ranks, pattern, hot, long)), sc.broadcast(ranks)
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"), words(F.col(f"`{text}`"), pattern).alias("words"))
 
