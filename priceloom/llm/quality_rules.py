@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 #: Window lengths (words) with the share of word characters inside repeated windows that rejects.
-COVERAGE = {5: 0.30, 8: 0.25, 10: 0.20}
+COVERAGE = {5: 0.40, 8: 0.35, 10: 0.35}
 #: Window lengths whose single most frequent window may cover this share of word characters.
 TOP_WINDOW = {2: 0.20, 3: 0.18}
 #: Share of characters in repeated lines that rejects; symbols per word that reject.
