@@ -144,25 +144,12 @@ class HotWords:
         off = ids.offsets.to_numpy().astype(np.int64)
         self.ids = ids.values.to_numpy()[off[0] : off[-1]].astype(np.int32)
         self.off = np.concatenate([[0], off - off[0]])  # number 0, a gap, has no ids
-        self.number = np.argsort(keys)
-        self.keys = keys[self.number]
-        self.number = (self.number + 1).astype(np.uint32)
-        self.shift = C.U64(64 - max(1, len(keys).bit_length() + 1))
-        self.start = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=C.U64)).astype(np.int32)
+        self.numbers = C.Lookup(keys, np.arange(1, len(keys) + 1, dtype=np.uint32))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The word number of each hash, or 0."""
-        slot = (h >> self.shift).astype(np.int64)
-        at, stop = self.start[slot], self.start[slot + 1]
-        out = np.zeros(len(h), np.uint32)
-        todo = np.flatnonzero(at < stop)
-        while len(todo):
-            good = self.keys[at[todo]] == h[todo]
-            out[todo[good]] = self.number[at[todo[good]]]
-            todo = todo[~good]
-            at[todo] += 1
-            todo = todo[at[todo] < stop[todo]]
-        return out
+        at = self.numbers.find(h)
+        return np.where(at >= 0, self.numbers.values[at], 0).astype(np.uint32) if len(self.numbers.h) else np.zeros(len(h), np.uint32)
 
 
 def _one(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:

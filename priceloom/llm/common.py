@@ -43,9 +43,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/priceloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote in this process; results that read them must be saved before."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 # ---------------------------------------------------------------- texts as numpy
 
 
@@ -158,6 +170,30 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+class Lookup:
+    """Values by 64-bit hash: sorted hashes, with the first row of each run of leading bits."""
+
+    def __init__(self, h: np.ndarray, values: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.values = h[order], values[order]
+        self.shift = U64(64 - max(1, len(h).bit_length() + 1))
+        self.start = np.searchsorted(self.h >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=U64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The row of each hash, or -1."""
+        slot = (h >> self.shift).astype(np.int64)
+        at, stop = self.start[slot], self.start[slot + 1]
+        out = np.full(len(h), -1, np.int64)
+        todo = np.flatnonzero(at < stop)
+        while len(todo):
+            good = self.h[at[todo]] == h[todo]
+            out[todo[good]] = at[todo[good]]
+            todo = todo[~good]
+            at[todo] += 1
+            todo = todo[at[todo] < stop[todo]]
+        return out
+
+
 def sums_by(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(owner, weights=weights, minlength=n).astype(np.int64)
 
