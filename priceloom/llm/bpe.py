@@ -134,16 +134,19 @@ def words(text: Column, pattern: str) -> Column:
 
 
 class HotWords:
-    """Words by 64-bit hash; numbered by falling frequency, from 1, with their ids."""
-
-    def __init__(self, table: pa.Table):
-        order = np.argsort(-table.column("n").to_numpy(), kind="stable")
-        table = table.take(pa.array(order)).combine_chunks()
-        keys = hashes(_one(table.column("word"), pa.large_string()))
-        ids = _one(table.column("ids"), pa.large_list(pa.int32()))
-        off = ids.offsets.to_numpy().astype(np.int64)
-        self.ids = ids.values.to_numpy()[off[0] : off[-1]].astype(np.int32)
-        self.off = np.concatenate([[0], off - off[0]])  # number 0, a gap, has no ids
+    """Words by 64-bit hash; numbered from 1, with their ids."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        keys, sizes, ids = [np.zeros(0, C.U64)], [np.zeros(2, np.int64)], [np.zeros(0, np.int32)]
+        for batch in batches:
+            lists = batch.column("ids")
+            off = lists.offsets.to_numpy()
+            keys.append(hashes(batch.column("word")))
+            sizes.append(np.diff(off).astype(np.int64))
+            ids.append(lists.values.to_numpy()[off[0] : off[-1]].astype(np.int32))
+        keys = np.concatenate(keys)
+        self.ids = np.concatenate(ids)
+        self.off = np.cumsum(np.concatenate(sizes))  # number 0, a gap, has no ids
         self.numbers = C.Lookup(keys, np.arange(1, len(keys) + 1, dtype=np.uint32))
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -152,11 +155,6 @@ class HotWords:
         return np.where(at >= 0, self.numbers.values[at], 0).astype(np.uint32) if len(self.numbers.h) else np.zeros(len(h), np.uint32)
 
 
-def _one(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
-    column = column.combine_chunks()
-    return (column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else pa.array([], column.type) if isinstance(column, pa.ChunkedArray) else column).cast(kind)
-
-
 def hashes(strings: pa.Array) -> np.ndarray:
     out = [np.zeros(0, C.U64)]
     for at in range(0, len(strings), 1 << 17):
@@ -179,9 +177,7 @@ def hot_words(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, m
     upto = counts.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("upto"))
     least = upto.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
     hot = counted.where(F.col("n") >= (least if least is not None else 2**62))
-    out = HotWords(hot.select("word", "n", fold_merges(F.col("word"), ranks).alias("ids")).toArrow())
-    pa.default_memory_pool().release_unused()
-    return out
+    return HotWords(hot.select("word", fold_merges(F.col("word"), ranks).alias("ids")).toArrow().to_batches())
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, hot: int = HOT, long: int = LONG) -> DataFrame:
