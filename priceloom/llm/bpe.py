@@ -62,43 +62,40 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of a word given as a string."""
-    table = rank_literal(ranks)
-    single = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
-
-    def rank(piece: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(table, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")), piece), F.lit(_NONE))
-
-    def merge(state: Column, _: Column) -> Column:
-        def at(k: Column) -> Column:  # k: place of the lowest rank, from 1
-            p, r, ids = state["p"], state["r"], state["ids"]
-            n = F.size(r)
-            mid = F.concat(F.get(p, k - 1), F.get(p, k))
-            sides = F.array(F.when(k > 1, F.concat(F.get(p, k - 2), mid)), F.when(k < n, F.concat(mid, F.get(p, k + 1))))
-            new = F.transform(F.filter(sides, lambda x: x.isNotNull()), rank)
-            head = F.greatest(k - 2, F.lit(0))
-            return F.struct(
-                F.concat(F.slice(p, 1, k - 1), F.array(mid), F.slice(p, k + 2, n)).alias("p"),
-                F.concat(F.slice(r, 1, head), new, F.slice(r, k + 2, n)).alias("r"),
-                F.concat(F.slice(ids, 1, k - 1), F.array(F.get(r, k - 1)), F.slice(ids, k + 2, n)).alias("ids"),
-            )
-
-        return _let(F.array_min(state["r"]), lambda low: F.when(low < _NONE, _let(F.array_position(state["r"], low).cast("int"), at)).otherwise(state))
-
-    def encode(piece: Column) -> Column:
-        # the letters and the word itself: one look-up for each pair and one for the whole
-        letters = F.filter(F.split(piece, ""), lambda c: c != "")
-        pairs = F.transform(letters, lambda c, i: F.when(i == 0, piece).otherwise(F.concat(F.get(letters, i - 1), c)))
-        return _let(F.struct(letters.alias("p"), F.transform(pairs, rank).alias("r")), lambda s: F.when(F.get(s["r"], F.lit(0)) < _NONE, F.array(F.get(s["r"], F.lit(0)))).otherwise(
-            F.aggregate(
-                F.sequence(F.lit(2), F.size(s["p"])),
-                F.struct(s["p"].alias("p"), F.slice(s["r"], 2, F.size(s["r"])).alias("r"), F.transform(s["p"], lambda c: F.get(single, F.ascii(c))).alias("ids")),
-                merge,
-                lambda state: state["ids"],
-            )
-        ))
-
-    return F.transform(F.array(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")), encode)[0]
+    """The ids of a word given as a string.
+
+    The state holds where the pieces start and the rank of each neighbouring pair, as integers: Spark
+    copies the state of a fold at every step, and pieces as strings would be copied with it.
+    """
+
+    def encode(table: Column, piece: Column) -> Column:
+        def rank(start: Column, stop: Column) -> Column:
+            part = F.substring(piece, start + 1, stop - start)
+            return F.coalesce(F.try_element_at(F.get(table, F.pmod(F.crc32(part.cast("binary")), F.lit(BUCKETS)).cast("int")), part), F.lit(_NONE))
+
+        def merge(state: Column, _: Column) -> Column:
+            s, r = state["s"], state["r"]
+
+            def at(k: Column) -> Column:  # k: place of the lowest rank, from 1
+                n = F.size(r)
+                sides = F.array(F.when(k > 1, rank(F.get(s, k - 2), F.get(s, k + 1))), F.when(k < n, rank(F.get(s, k - 1), F.get(s, k + 2))))
+                return F.struct(
+                    F.concat(F.slice(s, 1, k), F.slice(s, k + 2, n + 2)).alias("s"),
+                    F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), F.filter(sides, lambda x: x.isNotNull()), F.slice(r, k + 2, n)).alias("r"),
+                )
+
+            low = F.array_min(r)
+            return _let(F.when(low < _NONE, F.array_position(r, low).cast("int")).otherwise(0), lambda k: F.when(k > 0, at(k)).otherwise(state))
+
+        def pieces(state: Column) -> Column:
+            s = state["s"]
+            return F.transform(F.slice(s, 1, F.size(s) - 1), lambda start, i: rank(start, F.get(s, i + 1)))
+
+        n = F.length(piece)
+        first = F.struct(F.sequence(F.lit(0), n).alias("s"), F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(i, i + 2)).alias("r"))
+        return _let(rank(F.lit(0), n), lambda whole: F.when(whole < _NONE, F.array(whole)).when(n > 1, F.aggregate(F.sequence(F.lit(2), n), first, merge, pieces)).otherwise(F.array().cast("array<int>")))
+
+    return _let(rank_literal(ranks), lambda table: _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), lambda piece: encode(table, piece)))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
