@@ -27,11 +27,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: the document with the least id of each group stays (rows repeated with one id stay together)."""
+    """Operator 6 over rows: the row with the least id of each group stays (null ids last), one row whatever the ids are."""
+    from priceloom.llm.common import materialize
     from priceloom.llm.simhash import near_dedup
 
-    gone = near_dedup(docs).where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.id), "left_anti")
+    rows = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "keyed-rows")
+    rank = F.struct(F.col("row.doc_id").isNull().alias("missing"), F.col("row.doc_id").alias("doc_id"), F.col("key").alias("key"))
+    gone = near_dedup(rows.select(rank.alias("rank"), F.col("row.text").alias("text")), "rank").where("id.key <> component.key").select("id.key")
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

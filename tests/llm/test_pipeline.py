@@ -68,3 +68,11 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, docs, "").columns == docs.columns
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_only_the_copy_itself_goes(spark):
+    a, b, c, d, e = (" ".join(f"{w}{RND.randrange(10**6)}" for w in WORDS * 2) for _ in range(5))
+    rows = [(3, a), (None, a), (None, b), (None, c), (None, c), (5, d), (5, e), (2, e), (7, b + " "), (None, d)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text.strip()) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, a), (7, b), (None, c), (5, d), (2, e)], key=str)
