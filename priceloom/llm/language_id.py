@@ -10,8 +10,9 @@ bounds what is broadcast.  The mass of such n-grams goes to the back-off weight
 A model is a set of sorted hash arrays; the interpolated log-probabilities of all languages lie
 side by side, so one look-up scores a known n-gram for every language.  The language of the lowest
 cross-entropy per symbol wins (ties: the first in order).  ``score`` is its softmax share with a
-temperature; ``rejected`` tells that the cross-entropy is above the ``REJECT`` quantile of that
-language's own training texts, estimated on ``CALIBRATE`` of them at most (least hashes).
+temperature; ``rejected`` tells that the cross-entropy is above the ``REJECT`` quantile of all that
+language's own training texts predicted as it (ranks within 1 / ``ACCURACY`` of their number).  Each text is scored
+once into a written table, which the quantiles are aggregated from.
 
 Null text or text without a letter: ``und``, score 0.  Null languages are not learned from.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-ORDER, LEAST_SHARE, CALIBRATE, REJECT, TEMPERATURE = 4, 1e-5, 2000, 0.999, 10.0
+ORDER, LEAST_SHARE, REJECT, ACCURACY, TEMPERATURE = 4, 1e-5, 0.999, 100_000, 10.0
 SPACE, ASTRAL = 32, 0xFFFF
 _SYMBOL: list[np.ndarray] = []
 
@@ -183,26 +184,26 @@ def identify(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang
     held = spark.sparkContext.broadcast(train(taught, text, lang))
     langs = held.value.langs
 
-    def run(limits: dict):
-        def score(_, texts):
-            n = len(texts)
-            if not langs:
-                return {"lang_pred": ["und"] * n, "score": np.zeros(n), "cross_entropy": pa.nulls(n, pa.float64()), "rejected": [True] * n}
-            bits, letters = held.value.entropies(texts)
-            best = bits.argmin(1)
-            least = bits[np.arange(n), best]
-            share = 1 / np.exp2(-TEMPERATURE * (bits - least[:, None])).sum(1)
-            return {
-                "lang_pred": [langs[b] if ok else "und" for b, ok in zip(best, letters)],
-                "score": np.where(letters, share, 0.0),
-                "cross_entropy": pa.array(least, mask=~letters),
-                "rejected": [not ok or x > limits.get(langs[b], np.inf) for b, ok, x in zip(best, letters, least)],
-            }
-
-        return score
-
-    fields = [("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double"), ("rejected", "boolean")]
-    sample = taught.where(F.col(f"`{lang}`").isNotNull()).orderBy(F.xxhash64(F.col(f"`{text}`"))).limit(CALIBRATE)
-    seen = C.map_texts(sample.withColumn("__lang", F.col(f"`{lang}`").cast("string")), text, ["__lang"], run({}), fields)
-    limits = {r.lang_pred: r.most for r in seen.where("lang_pred = row.__lang").groupBy("lang_pred").agg(F.percentile("cross_entropy", F.lit(REJECT)).alias("most")).collect()}
-    return C.map_texts(df, text, keep or df.columns, run(limits), fields)
+    def run(_, texts, *given):
+        n = len(texts)
+        if not langs:
+            return {"lang_pred": ["und"] * n, "score": np.zeros(n), "cross_entropy": pa.nulls(n, pa.float64()), "own": given[0]}
+        bits, letters = held.value.entropies(texts)
+        best = bits.argmin(1)
+        least = bits[np.arange(n), best]
+        share = 1 / np.exp2(-TEMPERATURE * (bits - least[:, None])).sum(1)
+        return {
+            "lang_pred": [langs[b] if ok else "und" for b, ok in zip(best, letters)],
+            "score": np.where(letters, share, 0.0),
+            "cross_entropy": pa.array(least, mask=~letters),
+            "own": given[0],
+        }
+
+    own = F.when(F.coalesce(learn, F.lit(False)), F.col(f"`{lang}`").cast("string"))  # the language that a row was learned as
+    fields = [("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double"), ("own", "string")]
+    scored = C.materialize(C.map_texts(df, text, keep or df.columns, run, fields, given=[own]), "languages")
+    found = scored.where("lang_pred = own").groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", F.lit(REJECT), F.lit(ACCURACY)).alias("most")).collect()  # a row a language
+    most = F.lit(float("inf"))
+    for r in found:
+        most = F.when(F.col("lang_pred") == r.lang_pred, r.most).otherwise(most)
+    return scored.select("row", "lang_pred", "score", "cross_entropy", (F.col("cross_entropy").isNull() | (F.col("cross_entropy") > most)).alias("rejected"))

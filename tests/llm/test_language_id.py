@@ -88,3 +88,13 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
     got = op9_language_id(spark, "/root/testdata/sf0.001").where("held_out AND lang_pred <> 'und'").join(docs, "doc_id")
     assert got.where("lang = lang_pred").count() >= 0.9 * got.count() > 0
+
+
+def test_rejection_covers_every_taught_row(spark):
+    """2,500 copies of one text never hide another language's rows from the limits."""
+    rows = [(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(5000)]
+    odd = [(9000, "the dog sat over the cat xqzx", None), (9001, "der hund schlief und die katze lief xqzx", None)]
+    df = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string")
+    got = {r.row.doc_id: r for r in L.identify(df, F.lit(True), keep=["doc_id"]).collect()}
+    assert (got[9000].lang_pred, got[9001].lang_pred) == ("en", "de") and got[9000].rejected and got[9001].rejected
+    assert len(got) == 5002 and sum(r.rejected for i, r in got.items() if i < 5000) <= 5  # 0.1%: sums of one text may differ in the last bit
