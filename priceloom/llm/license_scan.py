@@ -14,8 +14,9 @@ token order.  Then, for a template of n words that must share k = ceil(THRESHOLD
 and the survivors are counted exactly.  The template side is a constant of this module, so
 documents are scanned in place and only word counts are shuffled.
 
-Base phrases are found where their words stand consecutively.  ``score``: 1 with a base phrase,
-otherwise the largest share of a template in a block that meets the threshold, otherwise 0.
+Base phrases are found where their words stand consecutively.  So are ``NOTICES``, which are too short for
+a share of their words to mean anything; of those that start at one word the longest counts, as a block
+with share 1 that starts there.  ``score``: 1 with a base phrase, otherwise the largest share of a template in a block that meets the threshold, otherwise 0.
 Null or empty text: no words, no labels, score 0.  Repeated rows are judged alike.
 """
 
@@ -47,6 +48,13 @@ TEMPLATES = {
     "cc-by": "This work is licensed under a Creative Commons Attribution International License. To view a copy of this license, visit or send a letter to Creative Commons, Mountain View, California, USA.",
 }
 
+#: Short notices, by their words; versions and openings tell them from other uses of the letters.
+NOTICES = {
+    words: f"cc-{kind.replace(' ', '-')}"
+    for kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
+    for words in (*(f"{verb} under {the}cc {kind}" for verb in ("licensed", "released", "available", "distributed") for the in ("", "a ", "the ")), *(f"cc {kind} {v}" for v in ("1 0", "2 0", "2 5", "3 0", "4 0")))
+}
+
 IS_WORD = ~C._table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 FIELDS = [("n_words", "bigint"), ("n_base", "bigint"), ("first_word", "bigint"), ("last_word", "bigint"), ("base_labels", "string"), ("labels", "string"), ("score", "double"), ("blocks", "array<struct<label:string,first_word:bigint,shared:double>>")]
 
@@ -65,6 +73,15 @@ def tokens(text: str) -> np.ndarray:
     return word_hashes(pa.array([text]))[0]
 
 
+def stands(words: np.ndarray, h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where ``words`` stand consecutively within one text."""
+    k = len(words)
+    at = np.flatnonzero(h[: max(0, len(h) - k + 1)] == words[0])
+    for x in range(1, k):
+        at = at[h[at + x] == words[x]]
+    return at[owner[at] == owner[at + k - 1]]
+
+
 class Vocabulary:
     """The words of the templates, by hash."""
 
@@ -133,6 +150,8 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, templ
     vocabulary = Vocabulary(TEMPLATES if templates is None else templates)
     join = Join(vocabulary, frequencies(df, text, vocabulary), threshold)
     phrases = [(tokens(p), label) for p, label in PHRASES.items()]
+    notices = sorted(((tokens(w), label) for w, label in (NOTICES if templates is None else {}).items()), key=lambda x: -len(x[0]))
+    short_cc = tokens("cc")[0]
     step = window // 2
 
     def run(_, texts):
@@ -141,11 +160,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, templ
         n_base, first, last = np.zeros(n, np.int64), np.full(n, 1 << 62), np.full(n, -1)
         base: list[set] = [set() for _ in range(n)]
         for words, label in phrases:
-            k = len(words)
-            at = np.flatnonzero(h[: max(0, len(h) - k + 1)] == words[0])
-            for x in range(1, k):
-                at = at[h[at + x] == words[x]]
-            at = at[owner[at] == owner[at + k - 1]]
+            at = stands(words, h, owner)
             n_base += C.sums_by(owner[at], n)
             np.minimum.at(first, owner[at], place[at])
             np.maximum.at(last, owner[at], place[at])
@@ -168,6 +183,13 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, templ
                 for t in np.flatnonzero(join.asks[:, ranks].any(1)):
                     if share := join.shared(t, ranks):
                         held[rows[a, 0]].append({"label": vocabulary.labels[t], "first_word": int(rows[a, 1]) * step, "shared": share})
+        if (h == short_cc).any():  # every notice holds this word
+            taken: set = set()
+            for words, label in notices:  # the longest first
+                for x in stands(words, h, owner).tolist():
+                    if x not in taken:
+                        taken.add(x)
+                        held[owner[x]].append({"label": label, "first_word": int(place[x]), "shared": 1.0})
         none = n_base == 0
         return {
             "n_words": n_words, "n_base": n_base,

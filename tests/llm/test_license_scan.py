@@ -54,3 +54,9 @@ def test_templates_fit_and_empty_tables(spark):
     assert S.scan(frame(spark).limit(0)).count() == 0
     assert S.scan(frame(spark), templates={}).where("labels <> base_labels").count() == 0
     assert S.scan(frame(spark)).select("row.*").columns == frame(spark).columns
+
+
+def test_short_notices(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", PROSE + "\nReleased under a CC-BY-SA license\n" + PROSE, "photo (CC BY 3.0)", "licensed by the cc under 4 0 nc", "cc by mail", "CC BY-NC-SA 4.0"]
+    got = {r.row.doc_id: (r.labels, r.score, r.n_base) for r in S.scan(frame(spark, texts), keep=["doc_id"]).collect()}
+    assert [got[i] for i in range(6)] == [("cc-by-nc", 1.0, 0), ("cc-by-sa", 1.0, 0), ("cc-by", 1.0, 0), ("", 0.0, 0), ("", 0.0, 0), ("cc-by-nc-sa", 1.0, 0)]
