@@ -138,7 +138,7 @@ class HotWords:
         for batch in batches:
             lists = batch.column("ids")
             off = lists.offsets.to_numpy()
-            keys.append(hashes(batch.column("word")))
+            keys.append(C.hashes(batch.column("word")))
             sizes.append(np.diff(off).astype(np.int64))
             ids.append(lists.values.to_numpy()[off[0] : off[-1]].astype(np.int32))
         keys = np.concatenate(keys)
@@ -152,14 +152,6 @@ class HotWords:
         return np.where(at >= 0, self.numbers.values[at], 0).astype(np.uint32) if len(self.numbers.h) else np.zeros(len(h), np.uint32)
 
 
-def hashes(strings: pa.Array) -> np.ndarray:
-    out = [np.zeros(0, C.U64)]
-    for at in range(0, len(strings), 1 << 17):
-        flat = C.Flat(strings.slice(at, 1 << 17))
-        out.append(C.Rolling(flat.data).ranges(flat.off[:-1], flat.off[1:]))
-    return np.concatenate(out)
-
-
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of values[s : s + n]."""
     before = np.concatenate([[0], np.cumsum(lengths)])
@@ -193,7 +185,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             while at < len(lists):
                 to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 17), "right")) - 1)
                 part = lists.values.slice(bounds[at], bounds[to] - bounds[at])
-                found = known.find(hashes(part))
+                found = known.find(C.hashes(part))
                 cut = bounds[at : to + 1] - bounds[at]
                 gaps = np.flatnonzero(found == 0)
                 gap_cut = pa.array(np.searchsorted(gaps, cut).astype(np.int32))

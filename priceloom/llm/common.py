@@ -3,6 +3,9 @@
 Every per-text computation of this subpackage runs as a Spark ``mapInArrow`` over
 (row, text) pairs.  Inside a task the UTF-8 buffer of a few hundred texts is handled at
 once with numpy; ``CHUNK_BYTES`` bounds the temporaries, whatever the batch size is.
+
+Words and lines are compared by their bytes: Arrow's dictionary encoding numbers the different ones of
+a chunk.  Where a value must be known outside its chunk, its XXH64 stands for it.
 """
 
 from __future__ import annotations
@@ -12,28 +15,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are handled by numpy at once (a longer single text is handled alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch at most; the session's own setting is lowered to it, not raised.
+BATCH_ROWS = 1024
 
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 # ---------------------------------------------------------------- shared storage
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``; one of our own only if that is unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir``; in local mode one of our own if that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file:///tmp/priceloom-shared"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -111,63 +117,49 @@ def _table(chars: bytes) -> np.ndarray:
 
 IS_SPACE = _table(WHITESPACE)
 ASCII_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for reuse by later chunks."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.ones(size, U64)
-            filled, step = 1, U64(base)
-            while filled < size:
-                have[filled : 2 * filled] = have[:filled] * step
-                step = step * step
-                filled *= 2
-        _POWERS[base] = have
-    return have[:n]
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges (in order, none overlapping) as one binary array."""
+    mark = np.zeros(len(data) + 1, np.int8)
+    np.add.at(mark, starts, 1)
+    np.subtract.at(mark, ends, 1)
+    off = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=off[1:])
+    held = data[np.cumsum(mark[:-1], dtype=np.int8).view(bool)]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(held)])
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser of 64-bit values."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-        return x ^ (x >> U64(31))
+def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of each value, the different values): equal bytes, and only those, share a number."""
+    held = values.dictionary_encode()
+    return held.indices.to_numpy(zero_copy_only=False).astype(np.int64), held.dictionary
 
 
-_BYTE_KEYS = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+def hashes(values: pa.Array) -> np.ndarray:
+    """XXH64 of each binary or string value."""
+    numbers, different = numbered(values)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, different.to_pylist()), U64, len(different))
+    return h[numbers]
 
 
-class Rolling:
-    """64-bit hashes of any ranges of a sequence from one prefix sum (polynomial, modulo 2**64, mixed)."""
+def count_in(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Set entries of ``mask`` in each range; the ranges hold something and are in order."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    bounds = np.stack([starts, ends], 1).ravel()
+    return np.add.reduceat(np.append(mask, False), bounds, dtype=np.int64)[::2]
 
-    def __init__(self, values: np.ndarray):
-        with np.errstate(over="ignore"):
-            keys = _BYTE_KEYS[values] if values.dtype == np.uint8 else mix(values)
-            self.sums = np.zeros(len(values) + 1, U64)
-            np.cumsum(keys * powers(_BASE, len(values)), out=self.sums[1:])
 
-    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            diff = (self.sums[ends] - self.sums[starts]) * powers(_BASE_INV, len(self.sums))[starts]
-            return mix(diff + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
+def is_point(data: np.ndarray) -> np.ndarray:
+    """Which UTF-8 bytes begin a code point."""
+    return (data & 0xC0) != 0x80
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Mask of the values that occur at least twice."""
-    order = np.argsort(keys)
-    s = keys[order]
-    same = np.zeros(len(s), bool)
-    if len(s) > 1:
-        eq = s[1:] == s[:-1]
-        same[1:] |= eq
-        same[:-1] |= eq
-    out = np.empty(len(s), bool)
-    out[order] = same
-    return out
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser of 64-bit values."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+        return x ^ (x >> U64(31))
 
 
 class Lookup:
@@ -201,6 +193,13 @@ def sums_by(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.
 # ---------------------------------------------------------------- Spark plumbing
 
 
+def settings(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch, so that a task holds few texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold at most ``limit`` bytes of text, or one row."""
     if batch.num_rows == 0:
@@ -221,6 +220,7 @@ def map_texts(df: DataFrame, text, keep: list[str], fn: Callable[..., dict], fie
     ``given``: more columns for ``fn(rows, texts, *given)``.  ``fn`` returns arrays by field name,
     and returns ``__take__`` (row numbers) when it emits another number of rows than it was given.
     """
+    settings(df.sparkSession)
     more = [F.col(c) if isinstance(c, str) else c for c in given or []]
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), (F.col(f"`{text}`") if isinstance(text, str) else text).cast("string").alias("text"), *[c.alias(f"g{i}") for i, c in enumerate(more)])
     names = [name for name, _ in fields]

@@ -213,8 +213,7 @@ def hot_words(words: DataFrame, most: int) -> C.Lookup:
     rows = words.where(F.col("n") >= (least if least is not None else 2**62)).toArrow()
     h = [np.zeros(0, C.U64)]
     for batch in rows.to_batches(max_chunksize=1 << 16):
-        flat = C.Flat(batch.column(0))
-        h.append(C.Rolling(flat.data).ranges(flat.off[:-1], flat.off[1:]))
+        h.append(C.hashes(batch.column(0)))
     return C.Lookup(np.concatenate(h), np.log10(rows.column("n").to_numpy() + 1.0)[:, None])
 
 
@@ -235,7 +234,7 @@ def score(df: DataFrame, learn: Column, text: str = "text", keep: list[str] | No
         flat = C.Flat(texts)
         data = C.ASCII_LOWER[flat.data]
         starts, ends, of = flat.runs(~C.IS_SPACE[data])
-        at = known.value.find(C.Rolling(data).ranges(starts, ends))
+        at = known.value.find(C.hashes(C.packed(data, starts, ends)))
         hit = at >= 0
         numbers = C.sums_by(of, flat.n)
         raw, rest = data.tobytes(), np.flatnonzero(~hit)

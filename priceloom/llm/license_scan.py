@@ -66,7 +66,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, owner = flat.runs(IS_WORD[data])
     n_words = C.sums_by(owner, flat.n)
     place = np.arange(len(owner)) - (np.cumsum(n_words) - n_words)[owner]
-    return C.Rolling(data).ranges(starts, ends), owner, place, n_words
+    return C.hashes(C.packed(data, starts, ends)), owner, place, n_words
 
 
 def tokens(text: str) -> np.ndarray:

@@ -44,11 +44,11 @@ def features(texts: pa.Array) -> np.ndarray:
     m, flat = measure(texts), C.Flat(texts)
     n = flat.n
     at = flat.off
-    share = lambda mask, whole: np.divide(np.diff(np.concatenate([[0], np.cumsum(mask)])[at]), whole, out=np.zeros(n), where=whole > 0)
+    share = lambda mask, whole: np.divide(C.sums_by(flat.text_of(np.flatnonzero(mask)), n), whole, out=np.zeros(n), where=whole > 0)
     size = np.diff(at)
     starts, ends, owner = flat.runs(~C.IS_SPACE[flat.data])
-    h = C.Rolling(C.ASCII_LOWER[flat.data]).ranges(starts, ends)
-    first = np.unique(C.mix(h ^ C.mix(owner.astype(C.U64) + C.U64(1))), return_index=True)[1]
+    number, _ = C.numbered(C.packed(C.ASCII_LOWER[flat.data], starts, ends))
+    first = np.unique(owner * (len(owner) + 1) + number, return_index=True)[1]
     words = np.maximum(m["n_words"], 1)
     lines = np.bincount(flat.lines()[2], minlength=n)
     cols = {
