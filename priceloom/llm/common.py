@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch at most; the session's own setting is lowered to it, not raised.
 BATCH_ROWS = 1024
+#: Different counts that a bound is chosen from, within one power of two.
+FEW_COUNTS = 4096
 
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -137,8 +139,12 @@ def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def hashes(values: pa.Array) -> np.ndarray:
     """XXH64 of each binary or string value."""
     numbers, different = numbered(values)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, different.to_pylist()), U64, len(different))
-    return h[numbers]
+    return hash_each(different)[numbers]
+
+
+def hash_each(values: pa.Array) -> np.ndarray:
+    """XXH64 of each binary or string value, for values that differ."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, values.to_pylist()), U64, len(values))
 
 
 def count_in(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -200,6 +206,33 @@ def settings(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def least_count(counted: DataFrame, most: int, n: str = "n") -> int:
+    """A count that at most ``most`` rows of ``counted`` reach; the least one where few rows have the same, and a power of two otherwise."""
+    power = F.floor(F.log2(F.col(n).cast("double"))).cast("int")
+    rows = counted.where(F.col(n) > 0).groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("rows")).collect()  # 63 at most
+    upto, least = 0, 1 << 62
+    for r in sorted(rows, key=lambda r: -r.power):
+        if upto + r.rows > most:
+            few = counted.where(power == r.power).groupBy(n).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(n)).limit(FEW_COUNTS).collect()
+            for x in few:
+                if upto + x.rows > most:
+                    break
+                upto, least = upto + x.rows, x[n]
+            break
+        upto, least = upto + r.rows, 1 << r.power
+    return least
+
+
+def sample(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """The ``most`` rows with the least hashes of ``key``; tasks hand on about that many together, not each."""
+    h, n = F.xxhash64(*key), df.count()
+    if n > most:
+        share = (most + 6 * most**0.5 + 6) / n
+        few = df.where(h < int(min(2 * share - 1, 1 - 2**-10) * 2**63)) if share < 1 else df
+        df = few if few.count() >= most else df
+    return df.orderBy(h, *key).limit(most)
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold at most ``limit`` bytes of text, or one row."""
     if batch.num_rows == 0:

@@ -2,98 +2,127 @@
 
 The tree's contexts are the last 0 to ``DEPTH`` bytes (texts with A-Z lower-cased; 0xFF, which UTF-8 never
 uses, pads the start and ends the text).  Each context codes the next byte as eight binary
-decisions with Krichevsky-Trofimov estimates.  All (DEPTH + 1)-grams of the training texts are counted
-inside the tasks and summed by grouped aggregation; shorter contexts are sums of longer ones.
-
-A context is kept if it holds at least ``LEAST_SHARE`` of all positions, so each depth keeps at most
-1 / ``LEAST_SHARE`` contexts at any corpus size, which bounds the broadcast.  The children of a context that
-are not kept share one rest child, so the tree weighting still covers every position.  With frozen
-counts the weighted prediction of each kept context is a table of 256 logarithms.
-
-Base score: words ``[^\\x20\\x09-\\x0D]+`` and one end a text.  Counts of the ``HOT`` most frequent words are
-broadcast (a fixed bound); other words of a text are looked up by a join of (row, word).
-
-Null text is empty: one end.  Without training rows the tree is its root, one bit a decision.
-Rows get a key of their own: repeated rows and null ids get a row each.
+decisions with Krichevsky-Trofimov estimates, and every context of the training texts is kept.
+
+1. The grams (``DEPTH`` bytes and the next one) of all texts are counted inside the tasks and summed by grouped
+   aggregation: how often in training texts, and how often in all.
+2. A gram's code length needs nothing but the counts of the contexts on its path.  The grams are
+   dealt by the last ``SPLIT`` bytes of their context, which keeps each subtree in one task (at most 2**24 grams); the tasks
+   weigh their subtrees from the leaves up.  The two levels above have 257 contexts and are weighed in the
+   driver.  Then each task writes the logarithm of every gram's probability.
+3. The ``HOT`` grams that are met most often in all texts are broadcast, a fixed bound; the others are looked
+   up by a join of (row, gram, times).  None of those is met more often than any of the broadcast
+   ones, so no join key is hot.  What is learned grows with the corpus; nothing is left out.
+
+``LEAST_SHARE`` is off (0): if set, contexts with less than that share of all positions lose their own counts, and
+the children of a context that are not kept share one rest child.
+
+Base score: words ``[^\\x20\\x09-\\x0D]+`` and one end a text, looked up in the same two ways.
+
+Null text is empty: one end.  Very long texts are coded in slices; nothing is cut off.  Without training rows the tree is
+its root, one bit a decision.  Ties need no choice: equal counts are all broadcast or none.  Rows get a key of
+their own: repeated rows and null ids get a row each.  An empty table gives an empty table.  The given
+columns stay in ``row``, so no name can clash.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH, LEAST_SHARE, HOT, END = 4, 2.0**-14, 1 << 20, 0xFF
+DEPTH, SPLIT, LEAST_SHARE, HOT, END = 4, 2, 0.0, 1 << 20, 0xFF
+#: Positions that are coded at once, and grams that are weighed at once (more where one suffix has more).
+SLICE, BLOCK = 1 << 18, 1 << 16
 
 
 # ---------------------------------------------------------------- counting
 
 
-def positions(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(context and next byte as one number, text number) of every coded byte, the end included."""
+def positions(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context and next byte as one number, text number) of every coded byte, the end included, in slices."""
     flat = C.Flat(texts)
-    size = np.diff(flat.off)
-    owner = np.repeat(np.arange(flat.n), size)
-    line = np.full(len(owner) + DEPTH * (flat.n + 1), END, np.uint64)
-    line[np.arange(len(owner)) + DEPTH * (owner + 1)] = C.ASCII_LOWER[flat.data]
-    gram = np.zeros(len(line) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        gram |= line[k : k + len(gram)] << np.uint64(8 * (DEPTH - k))
-    at = np.arange(len(owner) + flat.n) + np.repeat((DEPTH - 1) * np.arange(flat.n), size + 1)
-    return gram[at], np.repeat(np.arange(flat.n), size + 1)
-
-
-def count_grams(train: DataFrame, text: str) -> DataFrame:
-    """(gram, n): contexts of full depth with their next byte, over all training texts."""
+    line = np.full(len(flat.data) + DEPTH * (flat.n + 1), END, np.uint8)
+    for i, (a, z) in enumerate(zip(flat.off.tolist(), flat.off[1:].tolist())):
+        line[a + DEPTH * (i + 1) : z + DEPTH * (i + 1)] = C.ASCII_LOWER[flat.data[a:z]]
+    first = flat.off + np.arange(flat.n + 1)
+    for low in range(0, int(first[-1]), SLICE):
+        high = min(low + SLICE, int(first[-1]))
+        owner = np.repeat(np.arange(flat.n), np.diff(np.clip(first, low, high)))
+        at = np.arange(low, high) + (DEPTH - 1) * owner
+        part = line[at[0] : at[-1] + DEPTH + 1]
+        gram = np.zeros(len(part) - DEPTH, np.uint64)
+        for k in range(DEPTH + 1):
+            gram |= part[k : k + len(gram)].astype(np.uint64) << np.uint64(8 * (DEPTH - k))
+        yield gram[at - at[0]], owner
+
+
+def counted(df: DataFrame, text: str, learn: Column | None) -> DataFrame:
+    learned = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    C.settings(df.sparkSession)
+    return df.select(F.col(f"`{text}`").cast("string").alias("text"), learned.alias("learn"))
+
+
+def count_grams(df: DataFrame, text: str, learn: Column | None = None) -> DataFrame:
+    """(gram, n, seen): contexts of full depth with their next byte; n counts the learned texts, seen all."""
 
     def merged(parts):
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return keys, *(np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=len(keys)).astype(np.int64) for k in (1, 2))
+
+    def batch_of(keys, n, seen):
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(seen)], names=["gram", "n", "seen"])
 
     def run(batches):
         held: list = []
         for batch in batches:
             for part in C.chunks(batch, "text"):
-                held.append(np.unique(positions(part.column(0))[0], return_counts=True))
-                if sum(len(k) for k, _ in held) > 1 << 21:
-                    held = [merged(held)]
-                    if len(held[0][0]) > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["gram", "n"])
-                        held = []
+                learned = part.column(1).to_numpy(zero_copy_only=False)
+                for gram, owner in positions(part.column(0)):
+                    for which in (True, False):
+                        keys, n = np.unique(gram[learned[owner] == which], return_counts=True)
+                        held.append((keys, n if which else np.zeros_like(n), n))
+                    if sum(len(p[0]) for p in held) > 1 << 21:
+                        held = [merged(held)]
+                        if len(held[0][0]) > 1 << 20:
+                            yield batch_of(*held[0])
+                            held = []
         if held:
-            keys, n = merged(held)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["gram", "n"])
+            yield batch_of(*merged(held))
 
-    rows = train.select(F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return counted(df, text, learn).mapInArrow(run, "gram bigint, n bigint, seen bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
-def count_words(train: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all training texts."""
+def count_words(df: DataFrame, text: str, learn: Column | None = None) -> DataFrame:
+    """(word, n, seen): n counts the learned texts, seen all."""
 
     def run(batches):
-        held: Counter = Counter()
+        held: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
         def packed():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            for learned, words in held.items():
+                n = pa.array(list(words.values()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), n if learned else pa.array(np.zeros(len(n), np.int64)), n], names=["word", "n", "seen"])
+                words.clear()
 
         for batch in batches:
             for part in C.chunks(batch, "text"):
-                # texts never join to one word: a line feed stands between them
-                held.update("\n".join(part.column(0).fill_null("").to_pylist()).encode().lower().split())
-                if len(held) > 1 << 20:
-                    yield packed()
-                    held.clear()
-        if held:
-            yield packed()
+                learned = part.column(1)
+                for which, words in held.items():
+                    # texts never join to one word: a line feed stands between them
+                    words.update("\n".join(part.column(0).filter(learned if which else pa.compute.invert(learned)).fill_null("").to_pylist()).encode().lower().split())
+                if sum(map(len, held.values())) > 1 << 20:
+                    yield from packed()
+        yield from packed()
 
-    rows = train.select(F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted(df, text, learn).mapInArrow(run, "word string, n bigint, seen bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 # ---------------------------------------------------------------- the weighted tree
@@ -106,158 +135,213 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - np.log(x * (x + 1) * (x + 2) * (x + 3)) - np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
 
 
-def heap(counts: np.ndarray) -> np.ndarray:
-    """Binary node counts of 256 symbol counts: node 1 is the root, 2u and 2u + 1 its halves."""
-    out = np.zeros((len(counts), 512))
-    out[:, 256:] = counts
-    for level in (128, 64, 32, 16, 8, 4, 2, 1):
-        out[:, level : 2 * level] = out[:, 2 * level : 4 * level : 2] + out[:, 2 * level + 1 : 4 * level : 2]
-    return out
+def kt(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of a one, logarithm of the block probability)."""
+    block = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
+    return (ones + 0.5) / (zeros + ones + 1), block
 
 
-class Depth:
-    """The kept contexts of one depth: counts by binary node, KT block probabilities and predictions."""
+def mixture(zeros, ones, kept_zeros, kept_ones, product, split) -> tuple[np.ndarray, ...]:
+    """Weigh nodes against their kept children: (own estimate, its weight, rest child's estimate, log P_w).
+
+    ``kept_zeros``, ``kept_ones`` and ``product`` are sums over the kept children; ``split``: there are any.
+    """
+    one, block = kt(zeros, ones)
+    rest, rest_block = kt(np.maximum(zeros - kept_zeros, 0), np.maximum(ones - kept_ones, 0))
+    below = product + rest_block
+    share = np.where(split, 1 / (1 + np.exp(np.clip(below - block, -700, 700))), 1.0)
+    return one, share, rest, np.where(split, np.logaddexp(block, below) - np.log(2), block)
+
+
+class Subtrees:
+    """The levels ``DEPTH`` to ``SPLIT`` over the grams of some suffixes; the arrays hold a row for each (context, node) met."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, least: float):
+        byte = (gram & C.U64(255)).astype(np.int64)[:, None]
+        level = np.arange(8)
+        self.node = byte >> (8 - level) | 1 << level
+        self.bit = byte >> (7 - level) & 1
+        self.context = gram >> C.U64(8)
+        times = np.repeat(n, 8).astype(float)
+        self.levels: list[tuple] = []
+        below = None
+        for d in range(DEPTH, SPLIT - 1, -1):
+            ctx = self.context & C.U64((1 << 8 * d) - 1)
+            keys, row = np.unique((ctx[:, None] << C.U64(8) | self.node.astype(C.U64)).ravel(), return_inverse=True)
+            row = row.ravel()
+            ones = np.bincount(row, weights=times * self.bit.ravel(), minlength=len(keys))
+            zeros = np.bincount(row, weights=times, minlength=len(keys)) - ones
+            whole = (zeros + ones)[row[::8]]  # of each gram's context
+            kept = (whole > 0) & (whole >= least)
+            if below is None:
+                one, block = kt(zeros, ones)
+                made = one, np.ones(len(keys)), one, block
+            else:
+                sums, split = self.of_children(below, row, len(keys))
+                context_split = np.zeros(len(keys), bool)
+                context_split[row] = np.repeat(split[row[::8]], 8)
+                made = mixture(zeros, ones, *sums, context_split)
+            below = (row, kept, zeros, ones, made[3], len(keys))
+            self.levels.append((row, kept, *made[:3]))
+        self.below, self.keys = below, keys
+
+    def of_children(self, below: tuple, row: np.ndarray, n: int) -> tuple[tuple, np.ndarray]:
+        """Over the kept children of each of ``n`` rows: sums of zeros, ones and log P_w; and whether there are any."""
+        child, kept, zeros, ones, weighted, n_children = below
+        parent, is_kept = np.zeros(n_children, np.int64), np.zeros(n_children, bool)
+        parent[child], is_kept[child] = row, np.repeat(kept, 8)
+        up = parent[is_kept]
+        split = np.zeros(n, bool)
+        split[up] = True
+        return tuple(np.bincount(up, weights=x[is_kept], minlength=n) for x in (zeros, ones, weighted)), split
+
+    def for_top(self) -> tuple[np.ndarray, ...]:
+        """Parents' keys of level ``SPLIT`` with zeros and ones of all children; the same and log P_w of the kept ones."""
+        low = C.U64((1 << 8 * SPLIT) - 1)
+        _, kept, zeros, ones, weighted, n = self.below
+        is_kept = np.zeros(n, bool)
+        is_kept[self.below[0]] = np.repeat(kept, 8)
+        keys, up = np.unique(self.keys & low, return_inverse=True)
+        sums = [np.bincount(up.ravel(), weights=x * w, minlength=len(keys)) for x, w in ((zeros, 1), (ones, 1), (zeros, is_kept), (ones, is_kept), (weighted, is_kept), (is_kept, 1))]
+        return keys, *sums
+
+    def log10(self, top: list[tuple]) -> np.ndarray:
+        """log10 of the probability of each gram's byte after its context."""
+        p, inside = None, None
+        for row, kept, one, share, rest in self.levels:
+            q = one[row] if p is None else np.where(np.repeat(inside, 8), p, rest[row])
+            p, inside = share[row] * one[row] + (1 - share[row]) * q, kept
+        p = p.reshape(-1, 8)
+        for kept, one, share, rest in top:  # levels SPLIT - 1 to 0, dense by context and node
+            ctx = (self.context & C.U64(len(one) - 1)).astype(np.int64)[:, None]
+            own, weight = one[ctx, self.node], share[ctx, self.node]
+            p = weight * own + (1 - weight) * np.where(inside[:, None], p, rest[ctx, self.node])
+            inside = kept[ctx[:, 0]]
+        return np.log10(np.where(self.bit == 1, p, 1 - p)).sum(1)
+
+
+def weigh_top(keys: np.ndarray, sums: list[np.ndarray], least: float) -> list[tuple]:
+    """The levels ``SPLIT`` - 1 to 0 from the sums of the subtrees: (kept, own estimate, weight, rest estimate)."""
+    size = 1 << 8 * (SPLIT - 1)
+    zeros, ones, kept_zeros, kept_ones, product, kids = (np.bincount(keys.astype(np.int64), weights=x, minlength=size * 256).reshape(size, 256) for x in sums)
+    out = []
+    while True:
+        one, share, rest, weighted = mixture(zeros, ones, kept_zeros, kept_ones, product, np.broadcast_to(kids[:, 1:2] > 0, zeros.shape))
+        whole = zeros[:, 1] + ones[:, 1]
+        kept = (whole > 0) & (whole >= least)
+        out.append((kept, one, share, rest))
+        if size == 1:
+            return out
+        size //= 256
+        up = lambda x: x.reshape(256, size, 256).sum(0)  # noqa: E731, B023  the byte further back is the higher one
+        mask = np.broadcast_to(kept[:, None], zeros.shape)
+        zeros, ones, kept_zeros, kept_ones, product, kids = up(zeros), up(ones), up(zeros * mask), up(ones * mask), up(weighted * mask), up(mask.astype(float))
+
+
+def by_suffix(grams: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """Apply ``fn(gram, n, seen)`` to blocks that hold every gram of their suffixes (``SPLIT`` bytes of context)."""
 
-    def __init__(self, contexts: np.ndarray, counts: np.ndarray):
-        self.contexts, self.nodes = contexts, heap(counts)
-        self.one, self.block = kt(self.nodes)
+    def run(batches):
+        left = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            left = np.concatenate([left, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            whole = int(np.searchsorted(left[0], left[0, -1])) if left.shape[1] else 0  # the last suffix may go on
+            if whole >= BLOCK:
+                yield fn(np.ascontiguousarray(left[1, :whole]).view(C.U64), *left[2:, :whole])
+                left = left[:, whole:]
+        if left.shape[1]:
+            yield fn(np.ascontiguousarray(left[1]).view(C.U64), *left[2:])
 
+    suffix = F.shiftright("gram", 8).bitwiseAND((1 << 8 * SPLIT) - 1)
+    return grams.select(suffix.alias("suffix"), "gram", "n", "seen").repartition("suffix").sortWithinPartitions("suffix").mapInArrow(run, schema)
 
-def kt(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of a one, logarithm of the block probability) of every inner node; column 0 is unused."""
-    zeros, ones = nodes[:, 0::2].copy(), nodes[:, 1::2].copy()
-    zeros[:, 0] = ones[:, 0] = 0
-    block = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
-    return (ones + 0.5) / (zeros + ones + 1), block
 
+def fit(grams: DataFrame) -> DataFrame:
+    """(gram, seen, log10): of a table (gram, n, seen), each gram's logarithm under the tree of the counts n."""
+    least = LEAST_SHARE * (grams.agg(F.sum("n")).first()[0] or 0)
+    names = ["zeros", "ones", "kept_zeros", "kept_ones", "product", "kids"]
 
-class Tree:
-    """log10 of each next byte in each kept context, found by the longest kept context."""
-
-    def __init__(self, depths: list[tuple[np.ndarray, np.ndarray]]):
-        levels = [Depth(*d) for d in depths]
-        weighted = None  # of the depth below, by context
-        shares: list = [None] * len(levels)
-        rests: list = [None] * len(levels)
-        for d in range(len(levels) - 1, -1, -1):
-            here = levels[d]
-            below = levels[d + 1] if d + 1 < len(levels) else None
-            share = np.ones_like(here.block)  # the weight of this context's own estimate
-            rest = here.one
-            inside = here.block
-            if below is not None and len(below.contexts):
-                parent = np.searchsorted(here.contexts, below.contexts & C.U64((1 << 8 * d) - 1))
-                split = np.zeros(len(here.contexts), bool)
-                split[parent] = True
-                left = here.nodes.copy()
-                np.subtract.at(left, parent, below.nodes)
-                rest, rest_block = kt(np.maximum(left, 0))
-                product = rest_block
-                np.add.at(product, parent, weighted)
-                gap = np.clip(product - here.block, -700, 700)
-                share = np.where(split[:, None], 1 / (1 + np.exp(gap)), 1.0)
-                inside = np.where(split[:, None], np.logaddexp(here.block, product) - np.log(2), here.block)
-            shares[d], rests[d], weighted = share, rest, inside
-        self.tables = []
-        for d, here in enumerate(levels):
-            p = shares[d] * here.one + (1 - shares[d]) * rests[d]
-            for up in range(d - 1, -1, -1):
-                at = np.searchsorted(levels[up].contexts, here.contexts & C.U64((1 << 8 * up) - 1))
-                p = shares[up][at] * levels[up].one[at] + (1 - shares[up][at]) * p
-            logs = np.zeros((len(p), 1))
-            for level in (1, 2, 4, 8, 16, 32, 64, 128):
-                q = p[:, level : 2 * level]
-                logs = np.stack([logs + np.log10(1 - q), logs + np.log10(q)], 2).reshape(len(p), 2 * level)
-            self.tables.append((C.mix(here.contexts), logs.astype(np.float32)))
-        self.tables = [C.Lookup(h, logs) for h, logs in self.tables]
-
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each position's byte."""
-        out = np.empty(len(gram), np.float32)
-        todo, byte = np.arange(len(gram)), (gram & C.U64(255)).astype(np.int64)
-        for d in range(len(self.tables) - 1, -1, -1):
-            ctx = gram[todo] >> C.U64(8) & C.U64((1 << 8 * d) - 1)
-            at = self.tables[d].find(C.mix(ctx))
-            hit = at >= 0
-            out[todo[hit]] = self.tables[d].values[at[hit], byte[todo[hit]]]
-            todo = todo[~hit]
-            if not len(todo):
-                break
-        return out
-
-
-def fit(grams: DataFrame) -> Tree:
-    """The tree of a table of counts (gram, n)."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    depths = []
-    for d in range(DEPTH + 1):
-        part = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")) if d < DEPTH else grams
-        context = F.shiftrightunsigned("gram", 8)
-        kept = part.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_SHARE * total)
-        rows = part.withColumn("context", context).join(kept.select("context"), "context").select("gram", "n").toArrow()
-        gram, n = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-        contexts = np.unique(gram >> C.U64(8)) if d else np.zeros(1, np.uint64)
-        counts = np.zeros((len(contexts), 256))
-        counts[np.searchsorted(contexts, gram >> C.U64(8)), (gram & C.U64(255)).astype(np.int64)] = n
-        depths.append((contexts, counts))
-    return Tree(depths)
+    def climb(gram, n, _):
+        keys, *sums = Subtrees(gram, n, least).for_top()
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], names=["key", *names])
+
+    tops = by_suffix(grams, climb, "key bigint, " + ", ".join(f"{x} double" for x in names))
+    rows = tops.groupBy("key").agg(*[F.sum(x).alias(x) for x in names]).toArrow()  # 65,536 at most
+    top = weigh_top(rows.column("key").to_numpy(), [rows.column(x).to_numpy() for x in names], least)
+
+    def code(gram, n, seen):
+        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(seen), pa.array(Subtrees(gram, n, least).log10(top))], names=["gram", "seen", "log10"])
+
+    return by_suffix(grams, code, "gram bigint, seen bigint, log10 double")
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def hot_words(words: DataFrame, most: int) -> C.Lookup:
-    """log10(c + 1) of the most frequent words: all whose count keeps them within ``most``."""
-    counts = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("upto"))
-    least = counts.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
-    rows = words.where(F.col("n") >= (least if least is not None else 2**62)).toArrow()
-    h = [np.zeros(0, C.U64)]
-    for batch in rows.to_batches(max_chunksize=1 << 16):
-        h.append(C.hashes(batch.column(0)))
-    return C.Lookup(np.concatenate(h), np.log10(rows.column("n").to_numpy() + 1.0)[:, None])
+def listed(owner: np.ndarray, values: pa.Array, n: int) -> tuple[pa.Array, pa.Array]:
+    """Lists by text of the different values and of how often each is met."""
+    code, different = C.numbered(values)
+    key, times = np.unique(owner * (len(different) + 1) + code, return_counts=True)
+    off = pa.array(np.searchsorted(key, np.arange(n + 1) * (len(different) + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(off, different.take(pa.array(key % (len(different) + 1)))), pa.ListArray.from_arrays(off, pa.array(times.astype(np.int64)))
 
 
 def score(df: DataFrame, learn: Column, text: str = "text", keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """``row`` (struct of ``keep``) with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     sc = df.sparkSession.sparkContext
-    train = df.where(F.coalesce(learn, F.lit(False)))
-    words = C.materialize(count_words(train, text), "lm-words")
-    grams = C.materialize(count_grams(train, text), "lm-grams")
-    n_train = train.count()
-    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n_train = df.where(F.coalesce(learn, F.lit(False))).count()
+    words = C.materialize(count_words(df, text, learn), "lm-words")
+    grams = C.materialize(count_grams(df, text, learn), "lm-grams")
+    coded = C.materialize(fit(grams), "lm-codes")
+    total = words.where("n > 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (total.n or 0) + n_train, total.v + (1 if n_train else 0)
-    tree, known = sc.broadcast(fit(grams)), sc.broadcast(hot_words(words, hot))
+
+    rows = words.where(F.col("seen") >= C.least_count(words, hot, "seen")).toArrow()
+    times = rows.column("n").to_numpy()
+    word_hashes = np.concatenate([np.zeros(0, C.U64), *(C.hashes(b.column(0)) for b in rows.to_batches(max_chunksize=1 << 16))])
+    known = sc.broadcast(C.Lookup(word_hashes, np.stack([np.log10(times + 1.0), times > 0], 1)))
+    rows = coded.where(F.col("seen") >= C.least_count(coded, hot, "seen")).toArrow()
+    codes = sc.broadcast(C.Lookup(C.mix(rows.column("gram").to_numpy().view(C.U64)), rows.column("log10").to_numpy().astype(np.float32)))
+    del rows
 
     def run(_, texts):
-        gram, owner = positions(texts)
-        logs = np.bincount(owner, weights=tree.value.log10(gram), minlength=len(texts))
+        n, logs, far = len(texts), np.zeros(len(texts)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for gram, owner in positions(texts):
+            at = codes.value.find(C.mix(gram))
+            hit = at >= 0
+            logs += np.bincount(owner[hit], weights=codes.value.values[at[hit]], minlength=n)
+            far.append((owner[~hit], gram[~hit].view(np.int64)))
+        grams = listed(np.concatenate([x for x, _ in far]), pa.array(np.concatenate([x for _, x in far])), n)
         flat = C.Flat(texts)
         data = C.ASCII_LOWER[flat.data]
         starts, ends, of = flat.runs(~C.IS_SPACE[data])
-        at = known.value.find(C.hashes(C.packed(data, starts, ends)))
+        held = C.packed(data, starts, ends)
+        at = known.value.find(C.hashes(held))
         hit = at >= 0
-        numbers = C.sums_by(of, flat.n)
-        raw, rest = data.tobytes(), np.flatnonzero(~hit)
-        cut = np.searchsorted(of[rest], np.arange(flat.n + 1))
-        others = [raw[a:z].decode() for a, z in zip(starts[rest].tolist(), ends[rest].tolist())]
+        rest = listed(of[~hit], held.filter(pa.array(~hit)).cast(pa.large_string()), n)
+        value = known.value.values[at[hit]].reshape(-1, 2)
         return {
-            "words": numbers, "hits": C.sums_by(of[hit], flat.n),
-            "sum": np.bincount(of[hit], weights=known.value.values[at[hit], 0], minlength=flat.n).astype(float),
-            "logs": logs.astype(float), "bytes": np.diff(flat.off), "rest": pa.array([others[a:z] for a, z in zip(cut, cut[1:])], pa.list_(pa.string())),
+            "words": C.sums_by(of, n), "hits": C.sums_by(of[hit], n, value[:, 1]), "sum": np.bincount(of[hit], weights=value[:, 0], minlength=n).astype(float),
+            "logs": logs, "bytes": np.diff(flat.off), "rest": rest[0].cast(pa.list_(pa.string())), "rest_times": rest[1], "grams": grams[0], "grams_times": grams[1],
         }
 
-    fields = [("words", "bigint"), ("hits", "bigint"), ("sum", "double"), ("logs", "double"), ("bytes", "bigint"), ("rest", "array<string>")]
+    fields = [("words", "bigint"), ("hits", "bigint"), ("sum", "double"), ("logs", "double"), ("bytes", "bigint"), ("rest", "array<string>"), ("rest_times", "array<bigint>"), ("grams", "array<bigint>"), ("grams_times", "array<bigint>")]
     part = C.materialize(C.map_texts(df, text, keep or df.columns, run, fields).withColumn("key", F.monotonically_increasing_id()), "lm-scored")
-    asked = part.where(F.size("rest") > 0).select("key", F.explode("rest").alias("word"))
-    got = asked.join(words, "word").groupBy("key").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_sum"))
+
+    def others(name: str, value: str) -> DataFrame:
+        return part.where(F.size(name) > 0).select("key", F.explode(F.arrays_zip(F.col(name).alias("x"), F.col(f"{name}_times").alias("k"))).alias("e")).select("key", F.col("e.x").alias(value), F.col("e.k").alias("k"))
+
+    more = others("rest", "word").join(words, "word").groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_sum"))
+    deep = others("grams", "gram").join(coded, "gram").groupBy("key").agg(F.sum(F.col("k") * F.col("log10")).alias("more_logs"))
     end, norm = float(np.log10(n_train + 1.0)), float(np.log10(n + v + 1.0))
-    n_tokens = F.col("words") + 1
-    return part.drop("rest").join(got, "key", "left").select(
+    n_tokens, logs = F.col("words") + 1, F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    both = part.drop("rest", "rest_times", "grams", "grams_times").join(more, "key", "left").join(deep, "key", "left")
+    return both.select(
         "row",
         n_tokens.alias("n_tokens"),
         (F.col("hits") + F.coalesce("more", F.lit(0)) + (1 if n_train else 0)).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("sum") + F.coalesce("more_sum", F.lit(0.0)) + end - n_tokens * norm).alias("base_score"),
-        F.col("logs").alias("score"),
-        (-F.col("logs") * float(np.log2(10)) / (F.col("bytes") + 1)).alias("bits_per_byte"),
+        logs.alias("score"),
+        (-logs * float(np.log2(10)) / (F.col("bytes") + 1)).alias("bits_per_byte"),
     )
