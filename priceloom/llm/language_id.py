@@ -5,7 +5,8 @@ symbol), everything else as one space.  Training counts the ``ORDER``-grams of e
 each language inside the tasks and sums them by grouped aggregation; lower orders use continuation
 counts of the full tables.  N-grams below ``LEAST_SHARE`` of their language's total are left to the lower
 order, so a table holds at most 1 / ``LEAST_SHARE`` entries an order and language at any corpus size: that
-bounds what is broadcast.  The mass of such n-grams goes to the back-off weight of their context.
+bounds what is broadcast.  The mass of such n-grams goes to the back-off weight of their context.  ``least_share=0``
+keeps every n-gram (the exact model, whose arrays grow with the corpus); the README states what the share costs.
 
 A model is a set of sorted hash arrays; the interpolated log-probabilities of all languages lie
 side by side, so one look-up scores a known n-gram for every language.  The language of the lowest
@@ -14,11 +15,15 @@ temperature; ``rejected`` tells that the cross-entropy is above the ``REJECT`` q
 language's own training texts predicted as it (ranks within 1 / ``ACCURACY`` of their number).  Each text is scored
 once into a written table, which the quantiles are aggregated from.
 
-Null text or text without a letter: ``und``, score 0.  Null languages are not learned from.
+Null or empty text, or text without a letter: ``und``, score 0.  Null languages are not learned from; without
+any language every text is ``und``.  Very long texts are scored whole, in slices.  Repeated rows are learned from and
+judged each.  An empty table gives an empty table.  The given columns stay in ``row``, so no name can clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +33,8 @@ from . import common as C
 
 ORDER, LEAST_SHARE, REJECT, ACCURACY, TEMPERATURE = 4, 1e-5, 0.999, 100_000, 10.0
 SPACE, ASTRAL = 32, 0xFFFF
+#: Characters that are handled at once.
+SLICE = 1 << 18
 _SYMBOL: list[np.ndarray] = []
 
 
@@ -43,34 +50,40 @@ def symbols() -> np.ndarray:
     return _SYMBOL[0]
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram, text number) of every predicted symbol, and which texts have a letter."""
-    held = texts.fill_null("").to_pylist()
-    points = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
-    off = np.concatenate([[0], np.cumsum([len(t) for t in held])]).astype(np.int64)
-    sym = symbols()[np.minimum(points, 0xFFFF)]
-    for i in np.flatnonzero(points > 0xFFFF):
-        sym[i] = ASTRAL if chr(points[i]).isalpha() else SPACE
+def read(text: str) -> np.ndarray:
+    """The symbols of a text: of a run of spaces the first stays, but none at the ends."""
+    out = []
+    for low in range(0, len(text), SLICE):
+        points = np.frombuffer(text[low : low + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        sym = symbols()[np.minimum(points, 0xFFFF)]
+        for i in np.flatnonzero(points > 0xFFFF):
+            sym[i] = ASTRAL if chr(points[i]).isalpha() else SPACE
+        out.append(sym)
+    sym = np.concatenate(out) if out else np.zeros(0, np.uint16)
     letter = sym != SPACE
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first of a run of spaces stays, but not at the ends of a text
-    some = off[:-1][off[:-1] < off[1:]]
-    keep[some] = letter[some]
-    upto = np.concatenate([[0], np.cumsum(keep)])[off]
-    last = np.flatnonzero(keep)[upto[1:][np.diff(upto) > 0] - 1]
-    keep[last] = letter[last]
-    upto = np.concatenate([[0], np.cumsum(keep)])[off]
-    has = np.concatenate([[0], np.cumsum(letter)])
-    size = np.diff(upto)
-    owner = np.repeat(np.arange(len(held)), size)
-    line = np.full(len(owner) + (ORDER - 1) * (len(held) + 1), SPACE, np.uint64)
-    line[np.arange(len(owner)) + (ORDER - 1) * (owner + 1)] = sym[keep]
-    gram = np.zeros(max(0, len(line) - ORDER + 1), np.uint64)
-    for k in range(ORDER):
-        gram |= line[k : k + len(gram)] << np.uint64(16 * (ORDER - 1 - k))
-    # the symbols of a text, and the space that follows it
-    at = np.repeat(upto[:-1] + (ORDER - 1) * np.arange(len(held)), size + 1) + np.arange(len(owner) + len(held)) - np.repeat(upto[:-1] + np.arange(len(held)), size + 1)
-    return gram[at], np.repeat(np.arange(len(held)), size + 1), has[off[1:]] > has[off[:-1]]
+    keep[1:] |= letter[:-1]
+    sym = sym[keep]
+    return sym[:-1] if len(sym) and sym[-1] == SPACE else sym
+
+
+def grams(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-gram, text number) of every symbol of the texts and of the space that follows each, in slices."""
+    size = np.array([len(t) for t in texts], np.int64)
+    line = np.full(int(size.sum()) + (ORDER - 1) * (len(texts) + 1), SPACE, np.uint16)
+    first = np.concatenate([[0], np.cumsum(size + 1)])
+    for i, t in enumerate(texts):
+        a = int(first[i]) - i + (ORDER - 1) * (i + 1)
+        line[a : a + len(t)] = t
+    for low in range(0, int(first[-1]), SLICE):
+        high = min(low + SLICE, int(first[-1]))
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.clip(first, low, high)))
+        at = np.arange(low, high) + (ORDER - 2) * owner
+        part = line[at[0] : at[-1] + ORDER]
+        gram = np.zeros(len(part) - ORDER + 1, np.uint64)
+        for k in range(ORDER):
+            gram |= part[k : k + len(gram)].astype(np.uint64) << np.uint64(16 * (ORDER - 1 - k))
+        yield gram[at - at[0]], owner
 
 
 def count_grams(train: DataFrame, text: str, lang: str) -> DataFrame:
@@ -85,14 +98,15 @@ def count_grams(train: DataFrame, text: str, lang: str) -> DataFrame:
 
         for batch in batches:
             for part in C.chunks(batch, "text"):
-                gram, owner, _ = grams(part.column(0))
                 langs = part.column(1).to_pylist()
                 code = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-                which = np.array([code[x] for x in langs])[owner]
-                for x, i in code.items():
-                    held.setdefault(x, []).append(np.unique(gram[which == i], return_counts=True))
-                    if sum(len(k) for k, _ in held[x]) > 1 << 21:
-                        held[x] = [merged(held[x])]
+                lang_of = np.array([code[x] for x in langs])
+                for gram, owner in grams([read(t) for t in part.column(0).fill_null("").to_pylist()]):
+                    which = lang_of[owner]
+                    for x, i in code.items():
+                        held.setdefault(x, []).append(np.unique(gram[which == i], return_counts=True))
+                        if sum(len(k) for k, _ in held[x]) > 1 << 21:
+                            held[x] = [merged(held[x])]
         for x, parts in held.items():
             keys, n = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
@@ -146,17 +160,19 @@ class Model:
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits per symbol for each text and language; which texts have a letter."""
-        gram, owner, letters = grams(texts)
+        symbols_of = [read(t) for t in texts.fill_null("").to_pylist()]
         out = np.zeros((len(texts), len(self.langs)))
-        first = np.searchsorted(owner, np.arange(len(texts)))
-        # every text has at least the closing space, so no segment is empty
-        if len(texts):
-            out = -np.add.reduceat(self.log2p(ORDER, gram), first, axis=0, dtype=np.float64) / np.diff(np.append(first, len(owner)))[:, None]
-        return out, letters
+        for gram, owner in grams(symbols_of):
+            bits = self.log2p(ORDER, gram)
+            for x in range(len(self.langs)):
+                out[:, x] -= np.bincount(owner, weights=bits[:, x], minlength=len(texts))
+        # every text has at least the closing space
+        return out / np.array([len(t) + 1 for t in symbols_of]).reshape(-1, 1), np.array([len(t) > 0 for t in symbols_of], bool)
 
 
-def train(df: DataFrame, text: str, lang: str) -> Model:
-    """Fit the models on every row of ``df``."""
+def train(df: DataFrame, text: str, lang: str, least_share: float | None = None) -> Model:
+    """Fit the models on every row of ``df``; ``least_share`` instead of ``LEAST_SHARE``, 0 to leave nothing to lower orders."""
+    least_share = LEAST_SHARE if least_share is None else least_share
     tables = [C.materialize(count_grams(df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()), text, lang), f"grams-{ORDER}")]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: different symbols before
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
@@ -169,7 +185,7 @@ def train(df: DataFrame, text: str, lang: str) -> Model:
     for k, t in enumerate(tables):
         ctx = F.shiftrightunsigned("gram", 16)
         totals = t.groupBy("lang", ctx.alias("ctx")).agg(F.sum("n").alias("c"))
-        kept = t.join(F.broadcast(sums[k].select("lang", "total")), "lang").where(F.col("n") >= LEAST_SHARE * F.col("total")).withColumn("ctx", ctx)
+        kept = t.join(F.broadcast(sums[k].select("lang", "total")), "lang").where(F.col("n") >= least_share * F.col("total")).withColumn("ctx", ctx)
         rows = kept.join(totals, ["lang", "ctx"]).select("lang", "gram", "n", "c").toArrow()
         number = np.array([code[x] for x in rows.column("lang").to_pylist()], np.int64)
         discount = np.array([min(0.9, max(0.1, s.n1 / (s.n1 + 2 * s.n2) if s.n1 else 0.5)) for s in (stats[k][x] for x in langs)])
@@ -177,11 +193,11 @@ def train(df: DataFrame, text: str, lang: str) -> Model:
     return Model(langs, orders)
 
 
-def identify(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", keep: list[str] | None = None, least_share: float | None = None) -> DataFrame:
     """``row`` (struct of ``keep``) with lang_pred, score, cross_entropy and rejected; learned from the rows where ``learn`` holds."""
     spark = df.sparkSession
     taught = df.where(F.coalesce(learn, F.lit(False)))
-    held = spark.sparkContext.broadcast(train(taught, text, lang))
+    held = spark.sparkContext.broadcast(train(taught, text, lang, least_share))
     langs = held.value.langs
 
     def run(_, texts, *given):
