@@ -1,7 +1,8 @@
 """Operator 5: license scans by an exact set-similarity join of text blocks and license templates.
 
-Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  A block is a window of ``WINDOW``
-words, starting at every half window, so a passage of half a window's length lies wholly in one.
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  A block is a window of
+``WINDOW`` words, starting at every half window, so a passage of half a window's length lies wholly in one.
+Templates of more than half a window have blocks of their own: the window is doubled until half of it holds them.
 A block holds a template if at least ``THRESHOLD`` of the template's distinct words are in it.
 
 One pass counts, over all documents, how many hold each template word; rarest first is the global
@@ -17,7 +18,12 @@ documents are scanned in place and only word counts are shuffled.
 Base phrases are found where their words stand consecutively.  So are ``NOTICES``, which are too short for
 a share of their words to mean anything; of those that start at one word the longest counts, as a block
 with share 1 that starts there.  ``score``: 1 with a base phrase, otherwise the largest share of a template in a block that meets the threshold, otherwise 0.
-Null or empty text: no words, no labels, score 0.  Repeated rows are judged alike.
+Words are compared by their XXH64.
+
+Null or empty text: no words, no labels, score 0.  Very long texts are scanned whole; a task then holds some 40
+bytes for each of the text's.  Ties: of blocks with equal shares each is listed; of equally frequent words
+the one with the lesser hash comes first.  Repeated rows are judged alike.  An empty table gives an empty table,
+no templates only the base labels.  The given columns stay in ``row``, so no name can clash.
 """
 
 from __future__ import annotations
@@ -88,6 +94,7 @@ class Vocabulary:
     def __init__(self, templates: dict[str, str]):
         self.labels = list(templates)
         self.sets = [np.unique(tokens(t)) for t in templates.values()]
+        self.lengths = [len(tokens(t)) for t in templates.values()]
         self.words = np.unique(np.concatenate([*self.sets, np.zeros(0, C.U64)]))
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -145,14 +152,19 @@ def frequencies(df: DataFrame, text: str, vocabulary: Vocabulary) -> dict[int, i
     return {r.word: r.n for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row for each template word
 
 
-def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
-    """``row`` (struct of ``keep``) with FIELDS; ``blocks`` lists every block that holds a template."""
+def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, window: int | None = None) -> DataFrame:
+    """``row`` (struct of ``keep``) with FIELDS; ``blocks`` lists every block that holds a template; ``window``: for all templates alike."""
     vocabulary = Vocabulary(TEMPLATES if templates is None else templates)
     join = Join(vocabulary, frequencies(df, text, vocabulary), threshold)
     phrases = [(tokens(p), label) for p, label in PHRASES.items()]
     notices = sorted(((tokens(w), label) for w, label in (NOTICES if templates is None else {}).items()), key=lambda x: -len(x[0]))
     short_cc = tokens("cc")[0]
-    step = window // 2
+    sizes: dict[int, list[int]] = {}  # half a window: the templates that it holds
+    for t, body in enumerate(vocabulary.lengths):
+        step = (window or WINDOW) // 2
+        while window is None and step < body:
+            step *= 2
+        sizes.setdefault(step, []).append(t)
 
     def run(_, texts):
         h, owner, place, n_words = word_hashes(texts)
@@ -169,18 +181,20 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, templ
 
         known = vocabulary.find(h)
         at = np.flatnonzero(known >= 0)
-        rank, doc, block = join.rank[known[at]], owner[at], place[at] // step
-        final = np.maximum(0, -(-n_words[doc] // step) - 2)  # number of the last block
-        rows = np.concatenate([np.stack([doc, np.minimum(b, final), rank], 1)[b >= 0] for b in (block, block - 1)])
-        asked = join.asks.any(0)[rows[:, 2]] if len(rows) else np.zeros(0, bool)
         held: list[list] = [[] for _ in range(n)]
-        if asked.any():
+        for step, chosen in sizes.items():
+            asks = join.asks[chosen]
+            rank, doc, block = join.rank[known[at]], owner[at], place[at] // step
+            final = np.maximum(0, -(-n_words[doc] // step) - 2)  # number of the last block
+            rows = np.concatenate([np.stack([doc, np.minimum(b, final), rank], 1)[b >= 0] for b in (block, block - 1)])
+            if not len(rows) or not asks.any(0)[rows[:, 2]].any():
+                continue
             rows = np.unique(rows, axis=0)
             where = rows[:, 0] * (rows[:, 1].max() + 1) + rows[:, 1]
-            for x in np.unique(where[join.asks.any(0)[rows[:, 2]]]):
+            for x in np.unique(where[asks.any(0)[rows[:, 2]]]):
                 a, z = np.searchsorted(where, [x, x + 1])
                 ranks = rows[a:z, 2]
-                for t in np.flatnonzero(join.asks[:, ranks].any(1)):
+                for t in np.array(chosen)[asks[:, ranks].any(1)]:
                     if share := join.shared(t, ranks):
                         held[rows[a, 0]].append({"label": vocabulary.labels[t], "first_word": int(rows[a, 1]) * step, "shared": share})
         if (h == short_cc).any():  # every notice holds this word

@@ -60,3 +60,13 @@ def test_short_notices(spark):
     texts = ["Licensed under CC BY-NC 4.0.", PROSE + "\nReleased under a CC-BY-SA license\n" + PROSE, "photo (CC BY 3.0)", "licensed by the cc under 4 0 nc", "cc by mail", "CC BY-NC-SA 4.0"]
     got = {r.row.doc_id: (r.labels, r.score, r.n_base) for r in S.scan(frame(spark, texts), keep=["doc_id"]).collect()}
     assert [got[i] for i in range(6)] == [("cc-by-nc", 1.0, 0), ("cc-by-sa", 1.0, 0), ("cc-by", 1.0, 0), ("", 0.0, 0), ("", 0.0, 0), ("cc-by-nc-sa", 1.0, 0)]
+
+
+def test_long_templates(spark):
+    """A template of 250 words that stands whole at word 70, and one of 900 with a tenth left out; short ones beside them."""
+    long = {"own": " ".join(f"clause{i}" for i in range(250)), "huge": " ".join(f"term{i % 800}" for i in range(900))}
+    most = " ".join(f"term{i % 800}" for i in range(900) if i % 10)
+    texts = [" ".join(f"w{i}" for i in range(70)) + " " + long["own"], LONG + " " + most + " " + LONG, S.TEMPLATES["isc"], most[:3000]]
+    got = {r.row.doc_id: (r.labels, r.score) for r in S.scan(frame(spark, texts), keep=["doc_id"], templates=S.TEMPLATES | long).collect()}
+    assert got[0] == ("own", 1.0) and got[1][0] == "huge" and 0.8 <= got[1][1] < 1 and got[2] == ("isc", 1.0) and got[3] == ("", 0.0)
+    assert brute(texts[0], long, 512)[5:7] == got[0]
