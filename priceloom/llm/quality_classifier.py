@@ -7,15 +7,18 @@
 3. Hierarchical empirical Bayes: the expected number of good documents (labels where known,
    otherwise the classifier's probability) is summed by path and by host with grouped aggregation.  A
    host's rate is shrunk towards the global rate with a strength estimated from the spread of the host
-   rates (method of moments); a path's rate is shrunk towards its host's in the same way.  Sparse
-   sites stay near their parent.
-4. A document's posterior is its log-likelihood ratio plus the logit of its path's shrunk rate, the
-   document's own vote left out of that rate.
+   rates (method of moments, held within ``STRENGTH``); a path's rate is shrunk towards its host's in the
+   same way.  Sparse sites stay near their parent.
+4. A document's posterior is its log-likelihood ratio plus the logit of its path's shrunk rate.  The
+   document's own vote is left out of that rate, of its host's and of the global one, so a label
+   never moves its own document by way of its site.
 
 Hot hosts: sums are aggregated before the shuffle, and the join back is between two written tables, so
 adaptive execution may split it.  Null hosts and paths are a site of their own; null or empty text has
-zero features; labels of unknown ids are ignored and repeated labels averaged; without labels of both
-classes the classifier's evidence is zero.
+zero features; a very long text is measured whole (see quality_rules).  Labels of unknown ids are ignored and
+repeated labels averaged; without labels of both classes the classifier's evidence is zero.  Ties: a
+quality of exactly ``THRESHOLD`` is good.  Rows get a key of their own: repeated rows vote and are judged each.  An
+empty table gives an empty table.  The given columns stay in ``row``, so no name can clash.
 """
 
 from __future__ import annotations
@@ -91,17 +94,15 @@ def strength(sites: DataFrame, parent: Column) -> float:
 
 def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, label: str = "quality", label_id: str = "doc_id") -> DataFrame:
     """``row`` (struct of ``keep``) with evidence, host_rate, path_rate, quality and good."""
-    site = df.select("*", host.cast("string").alias("__host"), path.cast("string").alias("__path"))
-
     def run(_, texts, hosts, paths, ids):
         x = features(texts)
         return {"x": pa.array(list(x), pa.list_(pa.float64())), "host": hosts, "path": paths, "id": ids}
 
     kind = dict(df.dtypes)[doc_id]
-    docs = C.materialize(C.map_texts(site, text, keep or df.columns, run, [("x", "array<double>"), ("host", "string"), ("path", "string"), ("id", kind)], ["__host", "__path", F.col(f"`{doc_id}`")]).withColumn("key", F.monotonically_increasing_id()), "quality-features")
+    docs = C.materialize(C.map_texts(df, text, keep or df.columns, run, [("x", "array<double>"), ("host", "string"), ("path", "string"), ("id", kind)], [host.cast("string"), path.cast("string"), F.col(f"`{doc_id}`")]).withColumn("key", F.monotonically_increasing_id()), "quality-features")
     known = labels.select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.avg("y").alias("y"))
 
-    train = docs.select("id", "x").join(known, "id").orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).select("x", (F.col("y") >= 0.5).cast("double").alias("y")).toArrow()
+    train = C.sample(docs.select("id", "x").join(known, "id"), TRAIN_ROWS, "id").select("x", (F.col("y") >= 0.5).cast("double").alias("y")).toArrow()
     x = np.array(train.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     weights, intercept = fit(x, train.column("y").to_numpy())
 
@@ -115,16 +116,20 @@ def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, doc_i
 
     paths = C.materialize(scored.groupBy("host", "path").agg(F.sum("vote").alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
     hosts = C.materialize(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "quality-hosts")
-    overall = hosts.agg(F.sum("good") / F.sum("n")).first()[0]
-    overall = float(min(max(0.5 if overall is None else overall, 1e-3), 1 - 1e-3))
+    whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    overall = min(max(whole.good / whole.n if whole.n else 0.5, 1e-3), 1 - 1e-3)
     k_host = strength(hosts, F.lit(overall))
-    shrunk = C.materialize(hosts.select("host", ((F.col("good") + k_host * overall) / (F.col("n") + k_host)).alias("host_rate")), "quality-host-rates")
-    sites = C.materialize(paths.alias("p").join(shrunk.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "good", "n", "host_rate"), "quality-sites")
+    shrunk = hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n"), ((F.col("good") + k_host * overall) / (F.col("n") + k_host)).alias("host_rate"))
+    sites = C.materialize(paths.alias("p").join(shrunk.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "good", "n", "host_good", "host_n", "host_rate"), "quality-sites")
     k_path = strength(sites, F.col("host_rate"))
 
-    own = F.col("s.host_rate")
-    others = (F.greatest(F.col("s.good") - F.col("d.vote"), F.lit(0.0)) + k_path * own) / (F.col("s.n") - 1 + k_path)
+    def others(good: Column, n: Column, k: float, parent: Column) -> Column:
+        """The shrunk rate of a site without the document's own vote."""
+        return (F.greatest(good - F.col("d.vote"), F.lit(0.0)) + k * parent) / (n - 1 + k)
+
+    top = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), others(F.lit(float(whole.good or 0)), F.lit(whole.n or 1), 1e-9, F.lit(0.5))))
+    of_host = others(F.col("s.host_good"), F.col("s.host_n"), k_host, top)
     both = scored.alias("d").join(sites.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")), "left")
-    prior = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), others))
-    out = both.select("d.row", "d.evidence", own.alias("host_rate"), prior.alias("path_rate"), sigmoid(F.col("d.evidence") + logit(prior)).alias("quality"))
+    prior = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), others(F.col("s.good"), F.col("s.n"), k_path, of_host)))
+    out = both.select("d.row", "d.evidence", of_host.alias("host_rate"), prior.alias("path_rate"), sigmoid(F.col("d.evidence") + logit(prior)).alias("quality"))
     return out.withColumn("good", F.col("quality") >= THRESHOLD)
