@@ -8,13 +8,20 @@ occurrence lies wholly in one band.  Bands that reach the count are aligned with
 semi-global edit distance and kept if it is within the budget e = floor(rate * m), or the largest
 that leaves a count of at least one.  Items shorter than q are sought exactly; empty ones never match.
 
-The benchmark is handled in blocks of at most ``block_bytes`` of item text, each broadcast in turn;
-texts are read in place and never shuffled.  Null text: no leak.  Null items: ignored.  Repeated
-rows are judged alike; repeated items are reported once.
+The benchmark is handled in blocks of about ``block_bytes`` of item text, each broadcast in turn (some 25
+bytes of index for each of them); with several blocks the result so far is written between them, so
+that a task holds one index at a time.  Texts are read in place and never shuffled.
+
+Null and empty text: no leak.  Null items: ignored.  Very long texts are searched whole, a slice of their
+q-grams at a time.  Ties: of an item's occurrences with equal edits in a text, one is reported.  Repeated rows
+are judged alike; repeated items are reported once.  An empty table gives an empty table, an empty benchmark
+no leaks.  The given columns stay in ``row``, so no name can clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-Q, RATE, BLOCK_BYTES = 10, 0.08, 1 << 24
+Q, RATE, BLOCK_BYTES = 10, 0.08, 1 << 22
+#: Positions of a text whose q-grams are looked up at once, and hits that are counted at once.
+SLICE, HITS = 1 << 18, 1 << 20
 _BITS = 22
 _K1, _K2 = C.U64(0x9E3779B97F4A7C15), C.U64(0xC2B2AE3D27D4EB4F)
 
@@ -61,12 +70,12 @@ class Index:
         self.short = [i for i, t in enumerate(self.text) if 0 < len(t) < Q]
         parts = [grams(np.frombuffer(t, np.uint8)) for t in self.text]
         keys = np.concatenate(parts) if parts else np.zeros(0, C.U64)
-        item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+        place = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
         order = np.argsort(keys, kind="stable")
         self.item, self.place = item[order], place[order]
-        self.keys, self.first = np.unique(keys[order], return_index=True)
-        self.end = np.append(self.first[1:], len(keys))
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys)).astype(np.int32)
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self._slot(self.keys)] = True
 
@@ -74,18 +83,23 @@ class Index:
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys >> C.U64(64 - _BITS)).astype(np.int64)
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text position, item, item position) of every shared q-gram."""
-        keys = grams(data)
-        at = np.flatnonzero(self.maybe[self._slot(keys)])
-        if not len(at) or not len(self.keys):
-            return (np.zeros(0, np.int64),) * 3
-        k = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-        found = self.keys[k] == keys[at]
-        at, k = at[found], k[found]
-        many = self.end[k] - self.first[k]
-        post = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        return np.repeat(at, many), self.item[post], self.place[post]
+    def hits(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text position, item, item position) of every shared q-gram, in order of text position."""
+        for low in range(0, max(0, len(data) - Q + 1) if len(self.keys) else 0, SLICE):
+            keys = grams(data[low : low + SLICE + Q - 1])
+            at = np.flatnonzero(self.maybe[self._slot(keys)])
+            k = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+            found = self.keys[k] == keys[at]
+            at, k = at[found] + low, k[found]
+            many = (self.first[k + 1] - self.first[k]).astype(np.int64)
+            upto = np.cumsum(many)
+            a = 0
+            while a < len(at):  # a q-gram of many items comes in pieces
+                z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS, "right")))
+                n = many[a:z]
+                post = np.repeat(self.first[k[a:z]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                yield np.repeat(at[a:z], n), self.item[post].astype(np.int64), self.place[post].astype(np.int64)
+                a = z
 
 
 def align(item: bytes, region: bytes, low: int, high: int, budget: int) -> tuple[int, int, int]:
@@ -124,6 +138,11 @@ def align(item: bytes, region: bytes, low: int, high: int, budget: int) -> tuple
     return int(cost[k]), int(start[k]), int(diag[k] + len(item))
 
 
+def summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([n for _, n in counts]), minlength=len(keys)).astype(np.int64)
+
+
 def search(index: Index, texts: pa.Array) -> list[list[tuple[int, int, int, int]]]:
     """For each text, (item number, edits, start, end) of the best occurrence of each item that leaks; code points."""
     flat = C.Flat(texts)
@@ -132,18 +151,21 @@ def search(index: Index, texts: pa.Array) -> list[list[tuple[int, int, int, int]
     source = np.flatnonzero(kept)
     raw = data.tobytes()
     out: list[dict[int, tuple]] = [{} for _ in range(flat.n)]
-    at, item, place = index.hits(data)
-    if len(at):
+    # one number for (text, item, band); each hit counts in its band and in the one before
+    longest = int(np.diff(bounds).max(initial=0)) + int(index.length.max(initial=0))
+    least, span_ = -longest - 1, 2 * longest + 3
+    counts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for at, item, place in index.hits(data):
         doc = np.searchsorted(bounds, at, "right") - 1
         whole = at + Q <= bounds[doc + 1]
         at, item, place, doc = at[whole], item[whole], place[whole], doc[whole]
-        step = index.budget[item] + 1
-        diagonal = at - bounds[doc] - place
-        band = diagonal // step
-        # one number for (text, item, band); each hit counts in its band and in the one before
-        least, span_ = int(band.min()) - 1, int(band.max()) - int(band.min()) + 2
+        band = (at - bounds[doc] - place) // (index.budget[item] + 1)
         key = (doc * len(index.ids) + item) * span_ + band - least
-        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        counts.append(np.unique(np.concatenate([key, key - 1]), return_counts=True))
+        if sum(len(k) for k, _ in counts) > 2 * HITS:
+            counts = [summed(counts)]
+    key, count = summed(counts)
+    if len(key):
         pair = key // span_
         full = count >= index.need[pair % len(index.ids)]
         for k in np.flatnonzero(full)[np.argsort(-count[full], kind="stable")].tolist():
@@ -206,5 +228,5 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         if block == 0:
             out = C.map_texts(out, text, inner, run, [("leaks", kind)])
         else:
-            out = C.map_texts(out, F.col(f"row.`{text}`"), ["row"], run, [("leaks", kind)], ["leaks"]).select("row.row", "leaks")
+            out = C.map_texts(C.materialize(out, "leaks"), F.col(f"row.`{text}`"), ["row"], run, [("leaks", kind)], ["leaks"]).select("row.row", "leaks")
     return out.select(F.struct(*[F.col(f"row.`{c}`") for c in keep]).alias("row"), "leaks") if blocks > 1 else out
