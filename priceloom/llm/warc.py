@@ -1,9 +1,10 @@
 """Operator 10: WARC archives of Zstandard frames, with a dictionary in the leading skippable frame.
 
 Writing: the pages' payload digests are grouped (digest and id only); every page joins the smallest
-id of its digest, and tasks write archives of about ``ARCHIVE_BYTES``: the dictionary frame, then
-one frame a record.  Names are unique to the attempt, and the list of archives goes through Spark's
-own commit, so a task that is repeated after a lost executor leaves no record twice.
+id of its digest, and tasks write archives of about ``ARCHIVE_BYTES``, record by record: the dictionary
+frame, then one frame a record.  Names are unique to the attempt, and the list of archives goes through
+Spark's own commit; archives that are not on it (of lost or repeated tasks) are deleted before the folder is
+read, so no record is read twice.  Neither pages nor paths pass through the driver.
 
 Reading: Spark's binary file source hands archives to tasks; a task loads the dictionary, walks the
 frames by their block headers, decodes one record at a time and validates version, mandatory headers,
@@ -12,8 +13,9 @@ block length, HTTP length and payload digest.  ``strict`` raises at the first fa
 
 The dictionary is trained on ``SAMPLE`` pages at most (least hashes, ``SAMPLE_CHARS`` of each); it
 changes the size of the archives only.  Null html is an empty payload; a null url leaves out the
-target header; rows with equal ids and payloads are all written; a null id is never referred to
-unless no record of that payload has one.
+target header; rows with equal ids and payloads are all written (ties: each is a response if the id is the
+least); a null id is never referred to.  A very long payload is one record in one frame, held whole by one
+task.  An empty table writes nothing and reads as no records.  Extra columns are not read, so no name can clash.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE, SAMPLE_CHARS = 16 << 20, 64 << 10, 256, 16 << 10
+ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE, SAMPLE_CHARS = 64 << 20, 64 << 10, 256, 16 << 10
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -166,8 +168,8 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
     spark = pages.sparkSession
     path = path or f"{C.shared_dir(spark)}/priceloom/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    sample = rows.orderBy(F.xxhash64("id", "digest")).limit(SAMPLE).select(F.substring("payload", 1, SAMPLE_CHARS))
-    trained = dictionary([bytes(r[0]) for r in sample.collect() if r[0]])
+    sample = C.sample(rows.select("id", "digest", F.substring("payload", 1, SAMPLE_CHARS).alias("start")), SAMPLE, "id", "digest")
+    trained = dictionary([bytes(r.start) for r in sample.collect() if r.start])
     same = rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
     told = rows.join(C.materialize(same, "payloads"), "digest", "left").select("id", "url", "payload", "first", F.coalesce(~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)).alias("revisit"))
 
@@ -175,28 +177,31 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
+        if not isinstance(store, fs.LocalFileSystem) or path.startswith("file:"):
+            store.create_dir(root, recursive=True)
+        else:  # Spark would take it as a path of its default file system
+            raise ValueError(f"give the archives' folder with its scheme: {path}")
         codec = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None, write_checksum=True, write_content_size=True)
         lead = struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained if trained else b""
-        held, size, n = [lead], len(lead), 0
+        out, name, n = None, "", 0
 
-        def close():
-            name = f"{root}/{uuid.uuid4().hex}.warc.zst"
-            with store.open_output_stream(name, compression=None) as out:
-                for part in held:
-                    out.write(part)
-            return pa.RecordBatch.from_arrays([pa.array([f"{path}/{name.rsplit('/', 1)[1]}"]), pa.array([n], pa.int64())], names=["path", "records"])
+        def closed():
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([n], pa.int64())], names=["path", "records"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                row = [batch.column(k)[i].as_py() for k in range(5)]
-                held.append(codec.compress(record(*row)))
-                size, n = size + len(held[-1]), n + 1
-                if size >= archive_bytes:
-                    yield close()
-                    held, size, n = [lead], len(lead), 0
-        if n:
-            yield close()
+                if out is None:
+                    name, n = f"{uuid.uuid4().hex}.warc.zst", 0
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
+                    out.write(lead)
+                out.write(codec.compress(record(*(batch.column(k)[i].as_py() for k in range(5)))))
+                n += 1
+                if out.tell() >= archive_bytes:
+                    yield closed()
+                    out = None
+        if out is not None:
+            yield closed()
 
     return C.materialize(told.mapInArrow(write, "path string, records bigint"), "archives")
 
@@ -227,6 +232,20 @@ def read_archives(spark: SparkSession, paths: str | list[str], strict: bool = Tr
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write ``pages`` and read the archives back."""
-    paths = [r.path for r in write_archives(pages, **options).select("path").toLocalIterator()]
     spark = pages.sparkSession
-    return read_archives(spark, paths, payload=False) if paths else spark.createDataFrame([], RECORD)
+    folder = f"{C.shared_dir(spark)}/priceloom/warc-{uuid.uuid4().hex}"
+    told = write_archives(pages, folder, **options)
+    if told.isEmpty():
+        return spark.createDataFrame([], RECORD)
+    drop_strays(spark, folder, told)
+    return read_archives(spark, folder, payload=False)
+
+
+def drop_strays(spark: SparkSession, folder: str, told: DataFrame) -> None:
+    """Delete the archives of ``folder`` that are not in the committed list ``told``: those of lost or repeated tasks."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1).alias("name")
+    found = spark.read.format("binaryFile").load(folder).select("path")
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    for row in found.select("path", name("path")).join(told.select(name("path")), "name", "left_anti").toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(row.path)
+        path.getFileSystem(conf).delete(path, False)
