@@ -256,7 +256,7 @@ def by_suffix(grams: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return grams.select(suffix.alias("suffix"), "gram", "n", "seen").repartition("suffix").sortWithinPartitions("suffix").mapInArrow(run, schema)
 
 
-def fit(grams: DataFrame) -> DataFrame:
+def code(grams: DataFrame) -> DataFrame:
     """(gram, seen, log10): of a table (gram, n, seen), each gram's logarithm under the tree of the counts n."""
     least = LEAST_SHARE * (grams.agg(F.sum("n")).first()[0] or 0)
     names = ["zeros", "ones", "kept_zeros", "kept_ones", "product", "kids"]
@@ -269,10 +269,29 @@ def fit(grams: DataFrame) -> DataFrame:
     rows = tops.groupBy("key").agg(*[F.sum(x).alias(x) for x in names]).toArrow()  # 65,536 at most
     top = weigh_top(rows.column("key").to_numpy(), [rows.column(x).to_numpy() for x in names], least)
 
-    def code(gram, n, seen):
+    def logs(gram, n, seen):
         return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(seen), pa.array(Subtrees(gram, n, least).log10(top))], names=["gram", "seen", "log10"])
 
-    return by_suffix(grams, code, "gram bigint, seen bigint, log10 double")
+    return by_suffix(grams, logs, "gram bigint, seen bigint, log10 double")
+
+
+class Tree:
+    """``tables``: one, with log10 of all 256 bytes in each context of full depth."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        contexts = np.unique(gram >> C.U64(8))
+        asked = (contexts[:, None] << C.U64(8) | np.arange(256, dtype=C.U64)).ravel()
+        times = np.zeros(len(asked), np.int64)
+        times[np.searchsorted(asked, gram)] = n
+        tree = Subtrees(asked, times, 0.0)
+        keys, *sums = tree.for_top()
+        self.tables = [C.Lookup(C.mix(contexts), tree.log10(weigh_top(keys, sums, 0.0)).reshape(-1, 256))]
+
+
+def fit(grams: DataFrame) -> Tree:
+    """The predictions of a small table (gram, n) in the driver's memory, to look into a model; scoring doesn't use it."""
+    rows = grams.select("gram", "n").orderBy("gram").toArrow()
+    return Tree(rows.column("gram").to_numpy().view(C.U64), rows.column("n").to_numpy())
 
 
 # ---------------------------------------------------------------- scoring
@@ -292,7 +311,7 @@ def score(df: DataFrame, learn: Column, text: str = "text", keep: list[str] | No
     n_train = df.where(F.coalesce(learn, F.lit(False))).count()
     words = C.materialize(count_words(df, text, learn), "lm-words")
     grams = C.materialize(count_grams(df, text, learn), "lm-grams")
-    coded = C.materialize(fit(grams), "lm-codes")
+    coded = C.materialize(code(grams), "lm-codes")
     total = words.where("n > 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (total.n or 0) + n_train, total.v + (1 if n_train else 0)
 

@@ -77,17 +77,27 @@ class Brute:
         return out / math.log(10)
 
 
-@pytest.mark.parametrize("least, hot, block", [(0.0, T.HOT, T.BLOCK), (0.02, T.HOT, T.BLOCK), (0.0, 10, 1), (0.02, 0, 1)])
-def test_tree_equals_recursion(spark, monkeypatch, least, hot, block):
+@pytest.mark.parametrize("least", [0.0, 0.02])
+def test_tree_equals_recursion(spark, monkeypatch, least):
     monkeypatch.setattr(T, "LEAST_SHARE", least)
-    monkeypatch.setattr(T, "BLOCK", block)
     texts = ["abab abba", "abra cadabra", "ab ab éé", None, "Bar"]
-    got = {r.row.doc_id: r.score for r in T.score(frame(spark, texts), F.col("doc_id") < 4, keep=["doc_id"], hot=hot).collect()}
+    got = {r.row.doc_id: r.score for r in T.score(frame(spark, texts), F.col("doc_id") < 4, keep=["doc_id"]).collect()}
     brute = Brute(texts[:4], least)
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(brute.log10(t), rel=1e-4)
 
 
+@pytest.mark.parametrize("least, hot", [(0.0, 10), (0.02, 0)])
+def test_joined_grams_and_small_blocks(spark, monkeypatch, least, hot):
+    """Grams outside the broadcast table come by the join; every suffix is a block of its own."""
+    monkeypatch.setattr(T, "LEAST_SHARE", least)
+    monkeypatch.setattr(T, "BLOCK", 1)
+    texts = ["abab abba", "abra cadabra", "ab ab éé", None, "Bar"]
+    got = {r.row.doc_id: r.score for r in T.score(frame(spark, texts), F.col("doc_id") < 4, keep=["doc_id"], hot=hot).collect()}
+    brute = Brute(texts[:4], least)
+    assert got == {i: pytest.approx(brute.log10(t), rel=1e-6) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("hot", [T.HOT, 5, 0])
 def test_base_score(spark, hot):
     learn = [t for i, t in enumerate(TEXTS) if i % 3]
@@ -111,18 +121,10 @@ def test_learns_and_survives_nothing(spark):
     assert T.score(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_probabilities_sum_to_one():
-    """In every context that occurs, whether its bytes do or not."""
-    import pyarrow as pa
-
-    grams, n = np.unique(np.concatenate([g for g, _ in T.positions(pa.array(TEXTS[6:10]))]), return_counts=True)
-    contexts = np.append(np.unique(grams >> np.uint64(8)), np.uint64(0x01020304))
-    asked = (contexts[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).ravel()
-    times = np.zeros(len(asked), np.int64)
-    times[np.searchsorted(asked[:-256], grams)] = n
-    tree = T.Subtrees(asked, times, 0.0)
-    logs = tree.log10(T.weigh_top(*(lambda keys, *sums: (keys, sums))(*tree.for_top()), 0.0))
-    assert np.allclose((10.0**logs).reshape(-1, 256).sum(1), 1, atol=1e-9)
+def test_probabilities_sum_to_one(spark):
+    tree = T.fit(T.count_grams(frame(spark), "text"))
+    for t in tree.tables:
+        assert np.allclose((10.0 ** t.values.astype(float)).sum(1), 1, atol=1e-4)
 
 
 def test_slices_change_nothing(monkeypatch):
