@@ -15,7 +15,10 @@ instead, with the same outcome.
 
 Decoding concatenates the binary pieces of the ids.
 
-Null and empty texts have no ids.  Rows stay rows, so repeated rows and null ids need no care.
+Null and empty texts have no ids.  A very long text is a row like others, with its words in slices.  Ties:
+of equal ranks the leftmost pair merges; words of equal count are all in the table or all outside.  Rows stay
+rows, so repeated rows and null ids need no care.  An empty table gives an empty table.  The given columns stay in
+``row``, so no name can clash; ``decode`` adds ``decoded`` to ``keep``, which must not hold that name.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ import base64
 import heapq
 import json
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +40,9 @@ from . import common as C
 HOT, LONG, BUCKETS = 1 << 20, 256, 1 << 16
 #: Characters of a plan's description; the driver keeps those of past queries, and the rank map would fill them.
 PLAN_CHARS = 1 << 16
-_NONE = 2**31 - 1
+#: A rank above all, bits of a place in a word, and the longest word that the fold takes.
+_NONE, _WIDTH = 1 << 20, 14
+MOST = (1 << _WIDTH) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,10 +68,12 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of a word given as a string.
+    """The ids of a word given as a string of at most ``MOST`` bytes.
 
-    The state holds where the pieces start and the rank of each neighbouring pair, as integers: Spark
-    copies the state of a fold at every step, and pieces as strings would be copied with it.
+    The state is one array of numbers, a number for each pair of neighbouring pieces: the rank of their
+    concatenation (``_NONE``: no piece), then where the left one starts, where the right one starts and where it
+    stops.  So the least number is the lowest rank, leftmost first; merging takes it out and gives its
+    neighbours new ranks.
     """
 
     def encode(table: Column, piece: Column) -> Column:
@@ -73,27 +81,25 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
             part = F.substring(piece, start + 1, stop - start)
             return F.coalesce(F.try_element_at(F.get(table, F.pmod(F.crc32(part.cast("binary")), F.lit(BUCKETS)).cast("int")), part), F.lit(_NONE))
 
-        def merge(state: Column, _: Column) -> Column:
-            s, r = state["s"], state["r"]
+        def pair(a: Column, b: Column, c: Column) -> Column:
+            places = F.shiftleft(F.shiftleft(a, _WIDTH).bitwiseOR(b).cast("bigint"), _WIDTH).bitwiseOR(c)
+            return F.shiftleft(rank(a, c).cast("bigint"), 3 * _WIDTH).bitwiseOR(places)
 
-            def at(k: Column) -> Column:  # k: place of the lowest rank, from 1
-                n = F.size(r)
-                sides = F.array(F.when(k > 1, rank(F.get(s, k - 2), F.get(s, k + 1))), F.when(k < n, rank(F.get(s, k - 1), F.get(s, k + 2))))
-                return F.struct(
-                    F.concat(F.slice(s, 1, k), F.slice(s, k + 2, n + 2)).alias("s"),
-                    F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), F.filter(sides, lambda x: x.isNotNull()), F.slice(r, k + 2, n)).alias("r"),
-                )
+        left, middle, right = ((lambda v, k=k: F.shiftright(v, k * _WIDTH).bitwiseAND(MOST).cast("int")) for k in (2, 1, 0))
 
-            low = F.array_min(r)
-            return _let(F.when(low < _NONE, F.array_position(r, low).cast("int")).otherwise(0), lambda k: F.when(k > 0, at(k)).otherwise(state))
+        def merge(pairs: Column, _: Column) -> Column:
+            def at(low: Column) -> Column:
+                a, b, c = left(low), middle(low), right(low)
+                return F.transform(F.filter(pairs, lambda v: v != low), lambda v: F.when(middle(v) == a, pair(left(v), a, c)).when(left(v) == b, pair(a, c, right(v))).otherwise(v))
 
-        def pieces(state: Column) -> Column:
-            s = state["s"]
-            return F.transform(F.slice(s, 1, F.size(s) - 1), lambda start, i: rank(start, F.get(s, i + 1)))
+            return _let(F.array_min(pairs), lambda low: F.when(low < (_NONE << 3 * _WIDTH), at(low)).otherwise(pairs))
+
+        def pieces(pairs: Column) -> Column:
+            return F.concat(F.transform(pairs, lambda v: rank(left(v), middle(v))), F.array(_let(F.element_at(pairs, -1), lambda v: rank(middle(v), right(v)))))
 
         n = F.length(piece)
-        first = F.struct(F.sequence(F.lit(0), n).alias("s"), F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(i, i + 2)).alias("r"))
-        return _let(rank(F.lit(0), n), lambda whole: F.when(whole < _NONE, F.array(whole)).when(n > 1, F.aggregate(F.sequence(F.lit(2), n), first, merge, pieces)).otherwise(F.array().cast("array<int>")))
+        first = F.transform(F.sequence(F.lit(0), n - 2), lambda i: pair(i, i + 1, i + 2))
+        return _let(rank(F.lit(0), n), lambda whole: F.when(whole < _NONE, F.array(whole)).when(n > 1, F.aggregate(F.sequence(F.lit(3), n), first, merge, pieces)).otherwise(F.array().cast("array<int>")))
 
     return _let(rank_literal(ranks), lambda table: _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), lambda piece: encode(table, piece)))
 
@@ -158,20 +164,28 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])]
 
 
+def slices(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of lists that hold at most ``most`` values together, or one list."""
+    at = 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def hot_words(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, most: int, long: int) -> HotWords:
-    """The most frequent words: all whose count is at least the least count that keeps them within ``most``."""
+    """The most frequent words: all whose count is at least a bound that keeps them within ``most``."""
     counted = df.select(F.explode(words(F.col(f"`{text}`"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counted = C.materialize(counted.where(F.octet_length("word") <= long), "words")
-    counts = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    upto = counts.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("upto"))
-    least = upto.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
-    hot = counted.where(F.col("n") >= (least if least is not None else 2**62))
+    least = C.least_count(counted, most)
+    hot = counted.where(F.col("n") >= least)
     return HotWords(hot.select("word", fold_merges(F.col("word"), ranks).alias("ids")).toArrow().to_batches())
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, hot: int = HOT, long: int = LONG) -> DataFrame:
     """``row`` (struct of ``keep``) and ``ids``, the token ids of the text."""
     sc = df.sparkSession.sparkContext
+    C.settings(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     held, held_ranks = sc.broadcast(hot_words(df, text, ranks, pattern, hot, long)), sc.broadcast(ranks)
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"), words(F.col(f"`{text}`"), pattern).alias("words"))
@@ -181,52 +195,62 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         for batch in batches:
             lists = batch.column(1)
             bounds = lists.offsets.to_numpy().astype(np.int64)
-            at = 0
-            while at < len(lists):
-                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 17), "right")) - 1)
+            for at, to in slices(bounds, 1 << 19):
                 part = lists.values.slice(bounds[at], bounds[to] - bounds[at])
-                found = known.find(C.hashes(part))
+                code, different = C.numbered(part)
+                found = known.find(C.hash_each(different))[code]
                 cut = bounds[at : to + 1] - bounds[at]
                 gaps = np.flatnonzero(found == 0)
                 gap_cut = pa.array(np.searchsorted(gaps, cut).astype(np.int32))
-                numbers = [found[a:z].tobytes() for a, z in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(numbers, pa.binary()), pa.ListArray.from_arrays(gap_cut, part.take(pa.array(gaps)).cast(pa.string()))], names=["row", "numbers", "gaps"])
-                at = to
-
-    def one(numbers: bytes, gaps: list[str], folded: list) -> np.ndarray:
-        known = held.value
-        number = np.frombuffer(numbers, np.uint32).astype(np.int64)
-        size = known.off[number + 1] - known.off[number] if len(known.off) > 1 else np.zeros(len(number), np.int64)
-        size[number == 0] = 0
-        ids = gather(known.ids, known.off[number], size)
-        if gaps:
-            folded = [merge_word(w.encode(), held_ranks.value) if x is None else x for w, x in zip(gaps, folded)]
-            place = (np.cumsum(size) - size)[number == 0]
-            ids = np.insert(ids, np.repeat(place, [len(x) for x in folded]), np.concatenate(folded))
-        return ids.astype(np.int32)
+                numbers = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(found.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), numbers, pa.ListArray.from_arrays(gap_cut, part.take(pa.array(gaps)).cast(pa.string()))], names=["row", "numbers", "gaps"])
 
     def unpack(batches):
+        known = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = [one(*x) for x in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out), pa.int32()))], names=["row", "ids"])
-
-    filled = src.mapInArrow(fill, T.StructType([src.schema["row"], *T.StructType.fromDDL("numbers binary, gaps array<string>")]))
+            bounds = batch.column(1).offsets.to_numpy().astype(np.int64)
+            for at, to in slices(bounds, 1 << 18):
+                part = batch.slice(at, to - at)
+                number = part.column(1).flatten().to_numpy().astype(np.int64)
+                folded = part.column(3).flatten()
+                if folded.null_count:  # words that the fold does not take
+                    folded = pa.array([merge_word(w.encode(), held_ranks.value) if x is None else x for w, x in zip(part.column(2).flatten().to_pylist(), folded.to_pylist())], pa.list_(pa.int32()))
+                gap = number == 0
+                start, size = known.off[number], known.off[number + 1] - known.off[number]
+                own = folded.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                start[gap], size[gap] = np.cumsum(own) - own, own
+                stop = np.cumsum(size)
+                take, is_gap = np.repeat(start - stop + size, size) + np.arange(size.sum()), np.repeat(gap, size)
+                ids = np.empty(len(take), np.int32)
+                ids[~is_gap] = known.ids[take[~is_gap]]
+                ids[is_gap] = folded.flatten().to_numpy()[take[is_gap]]
+                off = np.concatenate([[0], stop])[bounds[at : to + 1] - bounds[at]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))], names=["row", "ids"])
+
+    filled = src.mapInArrow(fill, T.StructType([src.schema["row"], *T.StructType.fromDDL("numbers array<int>, gaps array<string>")]))
     folded = filled.withColumn("folded", F.transform("gaps", lambda w: F.when(F.octet_length(w) <= long, fold_merges(w, ranks))))
     return folded.mapInArrow(unpack, T.StructType([src.schema["row"], *T.StructType.fromDDL("ids array<int>")]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """``encoded``'s columns ``keep`` with ``decoded``: the concatenated pieces of ``ids``, as binary.
-
-    The pieces are a literal array; their bytes are carried as the characters U+0000 to U+00FF, so that
-    one array_join concatenates them.
-    """
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    table = F.from_json(F.lit(json.dumps(pieces)), T.ArrayType(T.StringType()))
-    text = F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: F.get(table, i)), "")
-    return encoded.select(*[F.col(f"`{c}`") for c in (keep if keep is not None else encoded.columns)], F.encode(text, "ISO-8859-1").alias("decoded"))
+    """``encoded``'s columns ``keep`` with ``decoded``: the concatenated pieces of ``ids``, as binary; null ids give an empty one."""
+    C.settings(encoded.sparkSession)
+    size = np.zeros(max(ranks.values(), default=-1) + 2, np.int64)
+    by_rank = sorted((rank, piece) for piece, rank in ranks.items())
+    size[[rank + 1 for rank, _ in by_rank]] = [len(piece) for _, piece in by_rank]
+    held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(piece for _, piece in by_rank), np.uint8), np.cumsum(size)))
+    src = encoded.select(F.struct(*[F.col(f"`{c}`") for c in (keep if keep is not None else encoded.columns)]).alias("row"), F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias("ids"))
+
+    def run(batches):
+        pieces, start = held.value
+        for batch in batches:
+            bounds = batch.column(1).offsets.to_numpy().astype(np.int64)
+            for at, to in slices(bounds, 1 << 18):
+                id_ = batch.column(1).values.to_numpy()[bounds[at] : bounds[to]].astype(np.int64)
+                size = start[id_ + 1] - start[id_]
+                off = np.concatenate([[0], np.cumsum(size)])[bounds[at : to + 1] - bounds[at]]
+                data = gather(pieces, start[id_], size)
+                decoded = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(off), pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), decoded], names=["row", "decoded"])
+
+    return src.mapInArrow(run, T.StructType([src.schema["row"], *T.StructType.fromDDL("decoded binary")])).select("row.*", "decoded")
