@@ -1,7 +1,7 @@
 """Column functions over product titles and queries (OP-58 to OP-60, OP-63, OP-64, OP-67 to OP-69).
 
-Digits and letters in patterns are ASCII; only ``strip`` knows Unicode white space.  A null input gives
-null, except for the array functions, which give an empty array.
+Digits and letters in patterns are ASCII; white space is Unicode's, as scraped titles are full of no-break
+spaces.  A null input gives null, except for the array functions, which give an empty array.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 ACCENTED, PLAIN = "áéíóú", "aeiou"
 DRYWALL_NAMES = ["yeso-carton", "yesocarton", "volcanita", "vulcanita"]
 
+#: White space in a pattern: Java's and DuckDB's own class is ASCII only.
+WHITE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 # The quantity grammar.
 UNIT_COUNT = r"(\d+)\s*(?:unidades|unidad\(es\)|unidad|unds|und|un\b|u\b|pcs|pz|piezas|uds)"
 CONTAINER_COUNT = r"(?:caja|pack|bolsa|balde)\s*(?:de\s*)?(\d+)"
@@ -23,12 +26,15 @@ SIZE_INCH_AND_MM = r'(\d+(?:-\d+/\d+|/\d+)?)\s*"\s*(\d+(?:\.\d+)?)\s*mm'
 SIZE_INCH = r'(\d+[ -]\d+/\d+|\d+/\d+)(?:\s*(pulgada|"))'
 SIZE_MM = r"(\d+(?:\.\d+)?)\s*mm"
 
+# Fixed value: a number.
 NUMBER = r"(\d+(?:[.,]\d+)?)"
 
+UNIT_COUNT, CONTAINER_COUNT, SIZE_BY, SIZE_INCH_AND_MM, SIZE_INCH, SIZE_MM = (p.replace(r"\s", WHITE) for p in (UNIT_COUNT, CONTAINER_COUNT, SIZE_BY, SIZE_INCH_AND_MM, SIZE_INCH, SIZE_MM))
+
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 
 
 def normalize(c: Column) -> Column:
@@ -47,7 +53,7 @@ def numbers(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """The distinct white-space separated words of a text."""
-    return F.coalesce(F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.filter(F.split(c, f"{WHITE}+"), lambda x: x != "")), F.array().cast("array<string>"))
 
 
 def quantity(title: Column) -> Column:

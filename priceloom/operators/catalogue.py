@@ -34,14 +34,15 @@ def prefix_until_empty(pages: DataFrame, page_no: str, good: Column, pages_told:
     by = by or []
     marked = pages.withColumn("__good", F.coalesce(good, F.lit(False)))
     stop = marked.groupBy(*by).agg(F.min(F.when(~F.col("__good"), F.col(page_no))).alias("__bad"), F.max(F.when(F.col(page_no) == 1, pages_told)).alias("__last"))
-    joined = marked.join(F.broadcast(stop), by) if by else marked.join(F.broadcast(stop))
+    joined = marked.join(stop, by) if by else marked.join(F.broadcast(stop))  # one row
     keep = F.col("__good") & (F.col(page_no) < F.coalesce("__bad", F.lit(2**62))) & (F.col(page_no) <= F.coalesce("__last", F.lit(1)))
     return joined.where(keep).drop("__good", "__bad", "__last")
 
 
 def price_a(prices: Column, strict: bool = False) -> Column:
-    """Store A's price: the first price's first text without its thousands dots; 0 without prices."""
-    text = F.replace(F.get(F.get(prices, F.lit(0))["price"], F.lit(0)), F.lit("."), F.lit(""))
+    """Store A's price: the first price's first text without its thousands dots; 0 without prices or without ``price``."""
+    texts = F.get(prices, F.lit(0))["price"]
+    text = F.replace(F.when(texts.isNull(), "0").otherwise(F.get(texts, F.lit(0))), F.lit("."), F.lit(""))
     number = text.cast("double") if strict else text.try_cast("double")
     return F.when(F.coalesce(F.size(prices), F.lit(0)) > 0, number).otherwise(F.lit(0.0))
 

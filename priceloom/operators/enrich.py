@@ -9,10 +9,10 @@ from . import envelope as E
 
 
 def pending(base: DataFrame, done: DataFrame, key: str = "sku", order: list | None = None) -> DataFrame:
-    """Rows of ``base`` whose key isn't done yet, the first of each key by ``order``."""
-    rest = base.join(done.select(key).distinct(), key, "left_anti")
+    """Rows of ``base`` whose key isn't done yet, the first of each key by ``order`` (default: as ``base`` lists them)."""
     if not order:
-        return rest.dropDuplicates([key])
+        return pending(base.withColumn("__at", F.monotonically_increasing_id()), done, key, [F.col("__at")]).drop("__at")
+    rest = base.join(done.select(key).distinct(), key, "left_anti")
     first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rest.withColumn("__n", first).where("__n = 1").drop("__n")
 
@@ -33,16 +33,21 @@ def merge(base: DataFrame, extra: dict[str, Column]) -> DataFrame:
     return base.withColumns(extra)
 
 
+def one_page(details: DataFrame, url: str, html: str) -> DataFrame:
+    """(url, __html): a page for each url, so that a url met twice doesn't repeat its products."""
+    return details.groupBy(F.col(url)).agg(F.min(F.col(html)).alias("__html"))
+
+
 def enrich_a(products: DataFrame, details: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Store A: description and specification table of each product's page; defaults where the page is missing."""
-    joined = products.join(details.select(F.col(url), F.col(html).alias("__html")), url, "left")
+    joined = products.join(one_page(details, url, html), url, "left")
     page = F.col("__html")
     return joined.withColumns({"descripcion": F.coalesce(E.description(page), F.lit(E.NO_DESCRIPTION)), "especificaciones": E.specification_table(page)}).drop("__html")
 
 
 def enrich_b(products: DataFrame, details: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Store B: both columns are replaced where the page's JSON is found; otherwise the description is empty and the old specifications stay."""
-    joined = products.join(details.select(F.col(url), F.col(html).alias("__html")), url, "left")
+    joined = products.join(one_page(details, url, html), url, "left")
     joined = joined.withColumn("__json", F.try_parse_json(E.envelope(F.col("__html"))))
     queries = F.try_variant_get("__json", "$.props.pageProps.dehydratedState.queries", "array<variant>")
     blocks = F.transform(queries, lambda q: F.try_variant_get(q, "$.state.data", "variant"))

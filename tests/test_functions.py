@@ -61,3 +61,11 @@ def test_properties(spark, texts):
     twice = run(spark, X.normalize, once)
     assert run(spark, X.normalize, twice) == twice
     assert all(q >= 1 for q in run(spark, X.quantity, texts))
+
+
+def test_no_break_spaces(spark):
+    """Scraped titles: U+00A0 and U+202F count as white space wherever white space may stand, a mixed number's own blank excepted."""
+    nb, thin = " ", " "
+    assert run(spark, X.size, [f"6{nb}x{nb}50{nb}mm", f"6 x 1{nb}5/8", f'1-1/4"{thin}30{nb}mm', f"2 1/2{nb}pulgadas"]) == ['6x50"', '6x1"', '1-1/4" y 30mm', '2 1/2"']
+    assert run(spark, X.quantity, [f"caja{nb}de{nb}100", f"100{nb}unidades", f"pack{thin}20"]) == [100, 100, 20]
+    assert run(spark, X.tokens, [f"a{nb}b　c"]) == [["a", "b", "c"]] and run(spark, X.normalize, [f"{nb}M8{nb}"]) == ["m 8"]
