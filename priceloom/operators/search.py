@@ -8,7 +8,6 @@ best ``k`` rows a query and store; a window with a pushed group limit picks the
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 
 import numpy as np
@@ -51,43 +50,72 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
     return np.array([v if v is not None and len(v) == width else [0.0] * width for v in vectors], float).reshape(len(vectors), width)
 
 
+def _rows(vectors: pa.Array, width: int) -> np.ndarray:
+    """Arrow lists as one matrix; null lists and those of another width are zero."""
+    size = vectors.value_lengths().fill_null(0).to_numpy()
+    flat = vectors.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros((len(vectors), width))
+    if width:
+        out[size == width] = flat[np.repeat(size == width, size)].reshape(-1, width)
+    return out
+
+
+def _shared(tokens: pa.Array, words: dict[str, list[int]], n_queries: int) -> np.ndarray:
+    """The number of words that each row shares with each query."""
+    out = np.zeros((len(tokens), n_queries), np.int64)
+    held = tokens.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy())
+    code = held.indices.to_numpy(zero_copy_only=False)
+    for k, w in enumerate(held.dictionary.to_pylist()):
+        if w in words:
+            out[np.ix_(row[code == k], words[w])] += 1  # a row's words differ
+    return out
+
+
+class _Best:
+    """The best ``k`` rows of each query by (score, idx), kept as flat arrays."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.floor = k, np.full(n_queries, -np.inf)
+        self.held = [np.zeros(0, t) for t in (np.int64, float, np.int64, float, np.int64, float)]
+
+    def add(self, idx: np.ndarray, cos: np.ndarray, shared: np.ndarray, score: np.ndarray) -> None:
+        ranked = np.round(score, DIGITS)
+        row, q = np.nonzero(ranked >= self.floor)
+        q, ranked, *rest = (np.concatenate(x) for x in zip(self.held, (q, ranked[row, q], idx[row], cos[row, q], shared[row, q], score[row, q])))
+        order = np.lexsort((rest[0], ranked, q))
+        q, ranked = q[order], ranked[order]
+        from_end = np.searchsorted(q, q, "right") - 1 - np.arange(len(q))
+        keep = from_end < self.k
+        last = from_end == self.k - 1
+        self.floor[q[last]] = ranked[last]
+        self.held = [q[keep], ranked[keep], *(x[order][keep] for x in rest)]
+
+
 def _block(index: DataFrame, rows: list, k: int) -> DataFrame:
     width = max((len(r.vec) for r in rows if r.vec is not None), default=0)
     words: dict[str, list[int]] = {}
     for i, r in enumerate(rows):
         for w in r.tokens or []:
             words.setdefault(w, []).append(i)
-    held = index.sparkSession.sparkContext.broadcast((_unit(_matrix([r.vec for r in rows], width)), words, [r.query_id for r in rows]))
+    held = index.sparkSession.sparkContext.broadcast((_unit(_matrix([r.vec for r in rows], width)), words, np.array([r.query_id for r in rows], np.int64)))
 
     def run(batches):
         unit, words, ids = held.value
-        best: dict[tuple, list] = {}
+        best: dict[str, _Best] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                store, idx, vec, tokens = (c.to_pylist() for c in part.columns)
-                cos = _unit(_matrix(vec, unit.shape[1])) @ unit.T
-                shared = np.zeros(cos.shape, np.int64)
-                for i, own in enumerate(tokens):
-                    for w in own or []:
-                        if w in words:
-                            shared[i, words[w]] += 1
+                store, idx = part.column(0).dictionary_encode(), part.column(1).to_numpy()
+                cos, shared = _unit(_rows(part.column(2), unit.shape[1])) @ unit.T, _shared(part.column(3), words, len(ids))
                 score = np.minimum(LIMIT, cos + shared * BONUS)
-                for s in dict.fromkeys(store):
-                    mine = np.array([i for i, x in enumerate(store) if x == s])
-                    for q in range(len(ids)):
-                        top = best.setdefault((s, q), [])
-                        column = score[mine, q]
-                        able = mine if len(top) < k else mine[np.round(column, DIGITS) >= top[0][0]]
-                        for i in able.tolist():
-                            item = (round(float(score[i, q]), DIGITS), idx[i], float(cos[i, q]), int(shared[i, q]), float(score[i, q]))
-                            if len(top) < k:
-                                heapq.heappush(top, item)
-                            elif item > top[0]:
-                                heapq.heapreplace(top, item)
-        rows = [(ids[q], s, i, c, n, x) for (s, q), top in best.items() for _, i, c, n, x in top]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=["query_id", "store", "idx", "cosine", "shared", "score"])
+                code = store.indices.to_numpy(zero_copy_only=False)
+                for n, s in enumerate(store.dictionary.to_pylist()):
+                    mine = code == n
+                    best.setdefault(s, _Best(len(ids), k)).add(idx[mine], cos[mine], shared[mine], score[mine])
+        for s, b in best.items():
+            q, _, *rest = b.held
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array([s] * len(q), pa.string()), *map(pa.array, rest)], names=["query_id", "store", "idx", "cosine", "shared", "score"])
 
     return index.select("store", "idx", "vec", "tokens").mapInArrow(run, _FIELDS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: A repeated name in a specification list keeps its last value.
@@ -12,3 +14,15 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; in local mode one of our own if that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file:///tmp/priceloom-shared"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/priceloom/{name}-{uuid.uuid4().hex}"
