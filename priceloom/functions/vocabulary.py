@@ -7,7 +7,7 @@ USE_A = [
     ("Yeso-cartón (Volcanita / Drywall)", ["yeso-carton", "yeso carton", "volcanita", "drywall", "yesocarton"]),
     ("Metal (Metalcon / Perfiles)", ["metalcon", "perfil", "tabiqueria", "hojalateria", "metal"]),
     ("Madera (Aglomerado / MDF / Melamina)", ["aglomerado", "mdf", "melamina", "pino", "madera", "cholguan", "terciado"]),
-    ("Techumbre (Techo / Zinc / Calamina)", ["techo", "techumbre", "calamina", "v2", "v8", "tejado", "zinc"]),
+    ("Techumbre (Techo / Zinc / Calamina)", ["techo", "techumbre", "zinc", "calamina", "v2", "v8", "tejado"]),
     ("Concreto (Hormigón / Ladrillo)", ["concreto", "hormigon", "ladrillo", "albañileria", "cemento"]),
     ("Fibrocemento (Internit / Pizarreño)", ["fibrocemento", "internit", "pizarreño"]),
 ]

@@ -144,14 +144,21 @@ def judge(similarity: Column, flag: Column) -> Column:
     return (similarity >= CUT) & (flag == 1)
 
 
-def pick(candidates: DataFrame, qs: DataFrame, index: DataFrame) -> DataFrame:
-    """One row for each query and store: the best ranked candidate whose numbers agree, else the best ranked one."""
+def pick(candidates: DataFrame, qs: DataFrame, index: DataFrame, model=None) -> DataFrame:
+    """One row for each query and store: the best ranked candidate whose numbers agree, else the best ranked one.
+
+    ``is_match`` is told by the rule, or by a ``model`` of ``learned_judge``.
+    """
     meta = index.select("store", "idx", "sku", "titulo", "precio", "cantidad", F.col("numbers").alias("held"))
     rows = candidates.join(meta, ["store", "idx"]).join(qs.select("query_id", F.col("numbers").alias("asked")), "query_id")
     rows = rows.withColumn("flag", number_match(F.col("asked"), F.col("held")).cast("int"))
     order = Window.partitionBy("query_id", "store").orderBy(F.desc("flag"), "rank")
     rows = rows.withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return rows.select("query_id", "store", "idx", "sku", "titulo", "precio", "cantidad", F.col("score").alias("similarity"), F.col("flag").alias("number_match"), judge(F.col("score"), F.col("flag")).alias("is_match"))
+    match = judge(F.col("score"), F.col("flag"))
+    if model is not None:
+        rows = model.transform(rows.withColumns({"similitud_texto": F.col("score"), "misma_dimension": F.col("flag")}))
+        match = F.col("prediction") == 1
+    return rows.select("query_id", "store", "idx", "sku", "titulo", "precio", "cantidad", F.col("score").alias("similarity"), F.col("flag").alias("number_match"), match.alias("is_match"))
 
 
 def judge_training(spark, rows: int = 1000, seed: int = 42) -> DataFrame:
@@ -161,7 +168,7 @@ def judge_training(spark, rows: int = 1000, seed: int = 42) -> DataFrame:
 
 
 def learned_judge(training: DataFrame):
-    """A gradient-boosted judge (its cut lies only near the rule's); apply with ``transform``, read ``prediction``."""
+    """A gradient-boosted judge (its cut lies only near the rule's); for ``pick``, or apply with ``transform`` and read ``prediction``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler

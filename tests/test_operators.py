@@ -165,3 +165,30 @@ def test_specifications_ignore_the_session_policy(spark):
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
     df = spark.sql("SELECT array(named_struct('k', 'a', 'v', '1'), named_struct('k', 'a', 'v', '2')) AS p")
     assert df.select(E.last_wins(F.col("p")).alias("m")).first().m == {"a": "2"}
+
+
+def test_answers_with_a_learned_judge(spark):
+    ix = store(spark, [("a", 0, "s0", "tornillo 6 x 1 caja 100 un", 1000.0, "u", "", [1.0, 0.0]), ("b", 0, "t0", "clavo 9 caja 5 un", 400.0, "u", "", [0.0, 1.0])])
+    qs = S.queries(spark.createDataFrame([(1, "tornillo 6x1", [1.0, 0.0])], "query_id long, text string, vec array<double>"))
+    model = S.learned_judge(S.judge_training(spark))
+    columns = ["store", "sku", "is_match", "unit_price"]
+    got = [sorted(map(tuple, P.answers(qs, ix, model=m).select(columns).collect())) for m in (None, model)]
+    assert got[0] == got[1] == [("a", "s0", True, 10.0), ("b", "t0", False, None)]
+
+
+def test_recommendation_lines(spark):
+    found = spark.createDataFrame([(1, "a", True, 1002.5), (1, "b", True, 2.25), (2, "a", True, 3.0), (2, "b", True, 3.0), (3, "a", True, 1.0)], "query_id long, store string, is_match boolean, unit_price double")
+    qs = spark.createDataFrame([(1, "perno"), (2, "clavo"), (3, "x")], "query_id long, text string")
+    assert {r.query_id: r.line for r in P.recommendation(found, qs).collect()} == {1: "PERNO | buy at b | saves $1,000.2 by piece", 2: "CLAVO | same price by piece", 3: None}
+
+
+def test_a_price_entry_without_price_is_zero(spark):
+    df = spark.createDataFrame([([(["12.990"],)],), ([(None,)],), ([],), (None,)], "p array<struct<price: array<string>>>")
+    assert [r.x for r in df.select(K.price_a(F.col("p")).alias("x")).collect()] == [12990.0, 0.0, 0.0, 0.0]
+
+
+def test_a_page_met_twice_repeats_no_product_and_the_first_row_stays(spark):
+    base = spark.createDataFrame([("1", "u"), ("1", "v")], "sku string, url string").coalesce(1)
+    pages_ = spark.createDataFrame([("u", "<p>"), ("u", "<p>"), ("v", "<p>")], "url string, html string")
+    first = N.pending(base, base.limit(0))
+    assert [r.url for r in first.collect()] == ["u"] and N.enrich_a(base, pages_).count() == 2 and first.columns == base.columns
