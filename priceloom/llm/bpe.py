@@ -137,25 +137,28 @@ def words(text: Column, pattern: str) -> Column:
 
 
 class HotWords:
-    """Words by 64-bit hash; numbered from 1, with their ids."""
+    """Words by 64-bit hash, numbered from 1, in ``numbers``; the ids of word k are ids[off[k] : off[k + 1]], none for 0."""
 
-    def __init__(self, batches: list[pa.RecordBatch]):
-        keys, sizes, ids = [np.zeros(0, C.U64)], [np.zeros(2, np.int64)], [np.zeros(0, np.int32)]
+    def __init__(self, batches: list[pa.RecordBatch], most: int):
+        keys, sizes, ids = [np.zeros(0, C.U64)], [np.zeros(2, np.int32)], [np.zeros(0, np.int32)]
+        small = np.min_scalar_type(most)
         for batch in batches:
             lists = batch.column("ids")
             off = lists.offsets.to_numpy()
             keys.append(C.hashes(batch.column("word")))
-            sizes.append(np.diff(off).astype(np.int64))
-            ids.append(lists.values.to_numpy()[off[0] : off[-1]].astype(np.int32))
+            sizes.append(np.diff(off).astype(np.int32))
+            ids.append(lists.values.to_numpy()[off[0] : off[-1]].astype(small))
         keys = np.concatenate(keys)
-        self.ids = np.concatenate(ids)
-        self.off = np.cumsum(np.concatenate(sizes))  # number 0, a gap, has no ids
+        self.ids, self.off = np.concatenate(ids), np.cumsum(np.concatenate(sizes), dtype=np.int32)
         self.numbers = C.Lookup(keys, np.arange(1, len(keys) + 1, dtype=np.uint32))
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The word number of each hash, or 0."""
-        at = self.numbers.find(h)
-        return np.where(at >= 0, self.numbers.values[at], 0).astype(np.uint32) if len(self.numbers.h) else np.zeros(len(h), np.uint32)
+
+def number_of(numbers: C.Lookup, h: np.ndarray) -> np.ndarray:
+    """The word number of each hash, or 0."""
+    if not len(numbers.h):
+        return np.zeros(len(h), np.uint32)
+    at = numbers.find(h)
+    return np.where(at >= 0, numbers.values[at], 0).astype(np.uint32)
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -179,26 +182,55 @@ def hot_words(df: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, m
     counted = C.materialize(counted.where(F.octet_length("word") <= long), "words")
     least = C.least_count(counted, most)
     hot = counted.where(F.col("n") >= least)
-    return HotWords(hot.select("word", fold_merges(F.col("word"), ranks).alias("ids")).toArrow().to_batches())
+    return HotWords(hot.select("word", fold_merges(F.col("word"), ranks).alias("ids")).toArrow().to_batches(), max(ranks.values(), default=0))
+
+
+class Pieces:
+    """The pieces of all ranks in one byte array."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_rank = sorted((rank, piece) for piece, rank in ranks.items())
+        size = np.zeros(by_rank[-1][0] + 2 if by_rank else 1, np.int64)
+        size[[rank + 1 for rank, _ in by_rank]] = [len(piece) for _, piece in by_rank]
+        self.data, self.start = np.frombuffer(b"".join(piece for _, piece in by_rank), np.uint8), np.cumsum(size)
+
+    def join(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """For each list (its bounds within ``ids``), its pieces one after the other."""
+        ids = ids.astype(np.int64)
+        size = self.start[ids + 1] - self.start[ids]
+        off = np.concatenate([[0], np.cumsum(size)])[bounds]
+        return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(off), pa.py_buffer(gather(self.data, self.start[ids], size))]).cast(pa.binary())
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, hot: int = HOT, long: int = LONG) -> DataFrame:
     """``row`` (struct of ``keep``) and ``ids``, the token ids of the text."""
+    return _encode(df, ranks, pattern, text, keep, hot, long, None)
+
+
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, hot: int = HOT, long: int = LONG) -> DataFrame:
+    """``encode`` with ``decoded``: the ids decoded again, in the task that made them."""
+    return _encode(df, ranks, pattern, text, keep, hot, long, Pieces(ranks))
+
+
+def _encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: list[str] | None, hot: int, long: int, pieces: Pieces | None) -> DataFrame:
     sc = df.sparkSession.sparkContext
     C.settings(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
-    held, held_ranks = sc.broadcast(hot_words(df, text, ranks, pattern, hot, long)), sc.broadcast(ranks)
+    known = hot_words(df, text, ranks, pattern, hot, long)
+    # in two parts: the workers that look words up hold no ids, and the other way round
+    held_numbers, held_ids, held_ranks = sc.broadcast(known.numbers), sc.broadcast((known.ids, known.off, pieces)), sc.broadcast(ranks)
+    del known
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"), words(F.col(f"`{text}`"), pattern).alias("words"))
 
     def fill(batches):
-        known = held.value
+        numbers_of = held_numbers.value
         for batch in batches:
             lists = batch.column(1)
             bounds = lists.offsets.to_numpy().astype(np.int64)
             for at, to in slices(bounds, 1 << 19):
                 part = lists.values.slice(bounds[at], bounds[to] - bounds[at])
                 code, different = C.numbered(part)
-                found = known.find(C.hash_each(different))[code]
+                found = number_of(numbers_of, C.hash_each(different))[code]
                 cut = bounds[at : to + 1] - bounds[at]
                 gaps = np.flatnonzero(found == 0)
                 gap_cut = pa.array(np.searchsorted(gaps, cut).astype(np.int32))
@@ -206,51 +238,47 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), numbers, pa.ListArray.from_arrays(gap_cut, part.take(pa.array(gaps)).cast(pa.string()))], names=["row", "numbers", "gaps"])
 
     def unpack(batches):
-        known = held.value
+        known_ids, known_off, pieces = held_ids.value
         for batch in batches:
             bounds = batch.column(1).offsets.to_numpy().astype(np.int64)
-            for at, to in slices(bounds, 1 << 18):
+            for at, to in slices(bounds, 1 << 16):
                 part = batch.slice(at, to - at)
                 number = part.column(1).flatten().to_numpy().astype(np.int64)
                 folded = part.column(3).flatten()
                 if folded.null_count:  # words that the fold does not take
                     folded = pa.array([merge_word(w.encode(), held_ranks.value) if x is None else x for w, x in zip(part.column(2).flatten().to_pylist(), folded.to_pylist())], pa.list_(pa.int32()))
                 gap = number == 0
-                start, size = known.off[number], known.off[number + 1] - known.off[number]
+                start = known_off[number].astype(np.int64)
+                size = known_off[number + 1] - start
                 own = folded.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 start[gap], size[gap] = np.cumsum(own) - own, own
                 stop = np.cumsum(size)
                 take, is_gap = np.repeat(start - stop + size, size) + np.arange(size.sum()), np.repeat(gap, size)
                 ids = np.empty(len(take), np.int32)
-                ids[~is_gap] = known.ids[take[~is_gap]]
+                ids[~is_gap] = known_ids[take[~is_gap]]
                 ids[is_gap] = folded.flatten().to_numpy()[take[is_gap]]
                 off = np.concatenate([[0], stop])[bounds[at : to + 1] - bounds[at]]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))], names=["row", "ids"])
+                out = [part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)), *([pieces.join(ids, off)] if pieces else [])]
+                yield pa.RecordBatch.from_arrays(out, names=["row", "ids", "decoded"][: len(out)])
 
-    filled = src.mapInArrow(fill, T.StructType([src.schema["row"], *T.StructType.fromDDL("numbers array<int>, gaps array<string>")]))
+    # written, so that no task feeds two Python workers at once
+    filled = C.materialize(src.mapInArrow(fill, T.StructType([src.schema["row"], *T.StructType.fromDDL("numbers array<int>, gaps array<string>")])), "words-numbered")
     folded = filled.withColumn("folded", F.transform("gaps", lambda w: F.when(F.octet_length(w) <= long, fold_merges(w, ranks))))
-    return folded.mapInArrow(unpack, T.StructType([src.schema["row"], *T.StructType.fromDDL("ids array<int>")]))
+    return folded.mapInArrow(unpack, T.StructType([src.schema["row"], *T.StructType.fromDDL("ids array<int>" + (", decoded binary" if pieces else ""))]))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``encoded``'s columns ``keep`` with ``decoded``: the concatenated pieces of ``ids``, as binary; null ids give an empty one."""
     C.settings(encoded.sparkSession)
-    size = np.zeros(max(ranks.values(), default=-1) + 2, np.int64)
-    by_rank = sorted((rank, piece) for piece, rank in ranks.items())
-    size[[rank + 1 for rank, _ in by_rank]] = [len(piece) for _, piece in by_rank]
-    held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(piece for _, piece in by_rank), np.uint8), np.cumsum(size)))
+    held = encoded.sparkSession.sparkContext.broadcast(Pieces(ranks))
     src = encoded.select(F.struct(*[F.col(f"`{c}`") for c in (keep if keep is not None else encoded.columns)]).alias("row"), F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):
-        pieces, start = held.value
+        pieces = held.value
         for batch in batches:
             bounds = batch.column(1).offsets.to_numpy().astype(np.int64)
             for at, to in slices(bounds, 1 << 18):
-                id_ = batch.column(1).values.to_numpy()[bounds[at] : bounds[to]].astype(np.int64)
-                size = start[id_ + 1] - start[id_]
-                off = np.concatenate([[0], np.cumsum(size)])[bounds[at : to + 1] - bounds[at]]
-                data = gather(pieces, start[id_], size)
-                decoded = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(off), pa.py_buffer(data)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), decoded], names=["row", "decoded"])
+                ids = batch.column(1).values.to_numpy()[bounds[at] : bounds[to]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pieces.join(ids, bounds[at : to + 1] - bounds[at])], names=["row", "decoded"])
 
     return src.mapInArrow(run, T.StructType([src.schema["row"], *T.StructType.fromDDL("decoded binary")])).select("row.*", "decoded")

@@ -58,11 +58,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``materialize`` wrote in this process; results that read them must be saved before."""
+def written() -> int:
+    """How many tables ``materialize`` has written in this process and not released."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written after the first ``since`` ones, the last ``keep`` excepted; results that read them must be saved before."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    _WRITTEN[since : len(_WRITTEN) - keep] = []
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

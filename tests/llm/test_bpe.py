@@ -49,3 +49,12 @@ def test_empty_table_and_extra_columns(spark, ranks):
     out = bpe.encode(twice, ranks, P.PATTERN)
     assert out.count() == 6 and out.select("row.*").columns == df.columns
     assert hashlib.sha256(b"").hexdigest() == out.where("row.text IS NULL").select(F.sha2(F.array_join("ids", " "), 256)).first()[0]
+
+
+def test_round_trip_equals_encode_and_decode(spark, ranks):
+    df = frame(spark, TEXTS + ODD)
+    once = {r.row.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.round_trip(df, ranks, P.PATTERN, keep=["doc_id"], hot=30).collect()}
+    twice = {r.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.decode(bpe.encode(df, ranks, P.PATTERN, keep=["doc_id"]).select("row.doc_id", "ids"), ranks).collect()}
+    assert once == twice and len(once) == len(TEXTS + ODD)
+    assert bpe.decode(spark.createDataFrame([(1, None)], "k int, ids array<int>"), ranks).first().decoded == b""
+    assert bpe.round_trip(df.limit(0), {}, P.PATTERN).count() == 0
