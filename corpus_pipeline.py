@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a
 DataFrame with the columns of ``documents``; the last one adds the token ids.
+
+Stages work on rows, not on ids: null and repeated ids, repeated rows, null and empty texts and columns of any name
+come through (``bpe`` replaces columns of the names that it adds).  An empty table gives an empty table; very
+long texts are read whole.  The quality rules reject null, empty and short texts.  Of equal ids in a group of
+copies one row stays.
 """
 
 from __future__ import annotations
@@ -45,15 +50,16 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: token ids, and whether decoding them gives the text again."""
+    """Operator 8: token ids, and whether decoding them gives the text again; columns of these names are replaced."""
     import public_tokenizers
 
-    from priceloom.llm.bpe import decode, encode, read_ranks
+    from priceloom.llm.bpe import read_ranks, round_trip
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = encode(docs, ranks, public_tokenizers.PATTERN).select("row.*", "ids")
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return decode(coded, ranks).select(*docs.columns, F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
+    coded = round_trip(docs, ranks, public_tokenizers.PATTERN)
+    text = F.coalesce("row.text", F.lit("")).cast("binary")
+    new = {"n_tokens": F.size("ids").cast("bigint"), "ids": F.col("ids"), "round_trip": F.col("decoded") == text}
+    return coded.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_copies), ("decontaminate", benchmark), ("bpe", tokens)]
@@ -63,12 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to ``documents``; each result is written as Parquet and reread as the next one's input."""
-    from priceloom.llm.common import materialize
+    """Apply STAGES to ``documents``; each result is written as Parquet and reread as the next one's input, and then
+    what the stages before have written is deleted."""
+    from priceloom.llm.common import materialize, release, written
 
+    since = written()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
+            release(spark, since, keep=1)
     return docs
