@@ -1,21 +1,23 @@
 """Operator 6: near-dedup of SimHash fingerprints with pivot distance tables.
 
-``PIVOTS`` reference fingerprints are fixed.  For each distinct fingerprint the table holds its
-Hamming distance to every reference, in total and within each of the eight bytes.  Two
-fingerprints at ``max_bits`` or fewer differing bits
-
-* agree in every reference distance within at least ``8 - max_bits`` of the bytes, so the table
-  rows of those bytes are an equi-join key (one row for each choice of bytes that agree), and
-* differ by ``max_bits`` at most in every total distance.
-
-Within a bucket, rows are swept in order of the distance to the first reference; pairs whose
-largest coordinate difference exceeds ``max_bits`` are discarded and the survivors verified.  A
-bucket leaves ``8 * max_bits`` bits free, so it holds 65,536 different fingerprints at most.  Of the
+``PIVOTS`` reference fingerprints are fixed, and a table holds the Hamming distance of each distinct
+fingerprint to every one of them.  Fingerprints at ``max_bits`` or fewer differing bits differ by ``max_bits`` at
+most in each of these distances, so pairs with a larger coordinate difference are discarded, and the
+survivors are verified by their exact distance.
+
+The table discards pairs but can't deal them to tasks: around random references most fingerprints lie within a
+few bits of one another.  So bytes bring pairs together: at most ``max_bits`` differing bits leave 8 -
+``max_bits`` of the eight bytes untouched, and a fingerprint is dealt once for each choice of that many bytes
+(28 for two bits).  Within a bucket, rows are swept in order of the distance to the first reference, so the
+table's first coordinate bounds which pairs are formed at all; the others thin them out (the README has the
+counts).  A bucket leaves ``8 * max_bits`` bits free, so it holds 65,536 different fingerprints at most.  Of the
 links of a bucket only a spanning forest is emitted: no link between components is lost.
 
-Copies share one fingerprint and are folded before any comparison.  Null and empty texts have
-fingerprint zero and link like any other.  Repeated rows and rows with null ids get a row each;
-a null id never names a component that has another id.
+Copies share one fingerprint and are folded before any comparison.  Null and empty texts have fingerprint zero
+and link like any other.  Very long texts are hashed whole, 32,768 shingles at a time.  Ties: a component is
+named by its least id, whatever the order.  Repeated rows and rows with null ids get a row each; a null id
+never names a component that has another id.  An empty table gives an empty table.  Only the id and the
+text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -63,43 +65,32 @@ def fingerprints(df: DataFrame, doc_id: str, text: str, width: int = 3) -> DataF
 
 
 class PivotTable:
-    """Distances to the reference fingerprints, for bytes and in total."""
+    """Distances to the reference fingerprints."""
 
     def __init__(self, pivots: int = PIVOTS):
         self.refs = C.mix(np.arange(1, pivots + 1, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15))
-        refs = self.refs.view(np.uint8).reshape(pivots, 8)
-        #: near[byte number, byte value, reference]
-        self.near = np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :, None] ^ refs.T[:, None, :])
-        weights = C.mix(np.arange(100, 100 + pivots, dtype=C.U64))
-        with np.errstate(over="ignore"):
-            self.row = C.mix((self.near.astype(C.U64) * weights).sum(-1, dtype=C.U64))
 
     def total(self, fp: np.ndarray) -> np.ndarray:
         return np.bitwise_count(fp[:, None] ^ self.refs[None, :])
 
-    def keys(self, fp: np.ndarray, max_bits: int) -> np.ndarray:
-        """A column for each choice of bytes whose table rows agree."""
-        b = fp.view(np.uint8).reshape(-1, 8)
-        rows = [self.row[k, b[:, k]] for k in range(8)]
-        out = []
+
+def keys(fp: np.ndarray, max_bits: int) -> np.ndarray:
+    """A column for each choice of 8 - ``max_bits`` bytes: fingerprints that agree in them share its key."""
+    out = []
+    for n, alike in enumerate(combinations(range(8), 8 - max_bits)):
         with np.errstate(over="ignore"):
-            for n, alike in enumerate(combinations(range(8), 8 - max_bits)):
-                key = np.full(len(fp), n + 1, C.U64)
-                for k in alike:
-                    key = C.mix(key + rows[k])
-                out.append(key)
-        return np.stack(out, 1)
+            out.append(C.mix(C.mix(fp & C.U64(sum(0xFF << 8 * k for k in alike))) + C.U64(n)))
+    return np.stack(out, 1)
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """(a, b): a spanning forest of the links between different fingerprints of each bucket."""
 
     def spread(batches):
-        table = PivotTable()
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(C.U64)
-            keys = table.keys(fp, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, keys.shape[1]).view(np.int64))], names=["key", "fp"])
+            dealt = keys(fp, max_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt.ravel().view(np.int64)), pa.array(np.repeat(fp, dealt.shape[1]).view(np.int64))], names=["key", "fp"])
 
     def sweep(batches):
         table = PivotTable()
