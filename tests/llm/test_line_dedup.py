@@ -46,3 +46,17 @@ def test_empty_table_repeats_and_null_ids(spark):
     got = [(r.doc_id, r.n_dropped) for r in L.line_dedup(twice).select("row.doc_id", "n_dropped").collect()]
     assert sorted(got, key=str) == sorted([(None, 1)] * 2 + [(1, 1)] * 2 + [(2, 1)] * 2 + [(3, 0)] * 2, key=str)
     assert L.line_dedup(df).select("row.*").columns == df.columns
+
+
+def test_columns_of_internal_names_survive(spark):
+    df = frame(spark, ["This is a line that many documents share\nown"] * 4)
+    odd = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(["__drop", "drop", "keys", "number", "id", "line", "keeper", "n_lines"])])
+    got = L.line_dedup(odd).collect()
+    assert sorted(r.n_dropped for r in got) == [0, 1, 1, 1] and all(r.row.number == 3 and r.row["__drop"] == 0 for r in got)
+
+
+def test_twins_are_two_lines(spark):
+    """Lines of one polynomial hash are different keys."""
+    from tests.llm.docs import TWINS
+
+    check(spark, ["\n".join(TWINS)] * 4 + [TWINS[0]])

@@ -76,3 +76,21 @@ def test_only_the_copy_itself_goes(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = sorted(((r.doc_id, r.text.strip()) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
     assert got == sorted([(3, a), (7, b), (None, c), (5, d), (2, e)], key=str)
+
+
+def test_stages_survive_odd_columns_and_ids(spark, tmp_path):
+    """Null and repeated ids, and columns named like the stages' own, in every stage."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(0, TD.ITEMS[0])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    prose = lambda k: " ".join(f"{w}{(k * 7919 + i * i) % 1009}" for i, w in enumerate(WORDS * 3))
+    texts = [prose(k) for k in range(12)] + [prose(3), prose(3), None, ""]
+    docs = frame(spark, texts, extra=False).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 5))
+    odd = ["ids", "n_tokens", "round_trip", "decoded", "words", "numbers", "gaps", "folded", "row", "key", "rank", "component", "fp", "kept", "leaks", "drop", "n_lines"]
+    docs = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in odd])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert sorted(out.columns) == sorted(docs.columns), name
+        rows = out.collect()
+        assert {r.key for r in rows} == {"own key"} and {r.text for r in rows} >= {prose(k) for k in range(12)}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
