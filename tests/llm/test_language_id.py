@@ -98,3 +98,57 @@ def test_rejection_covers_every_taught_row(spark):
     got = {r.row.doc_id: r for r in L.identify(df, F.lit(True), keep=["doc_id"]).collect()}
     assert (got[9000].lang_pred, got[9001].lang_pred) == ("en", "de") and got[9000].rejected and got[9001].rejected
     assert len(got) == 5002 and sum(r.rejected for i, r in got.items() if i < 5000) <= 5  # 0.1%: sums of one text may differ in the last bit
+
+
+def brute_pruned(rows, share):
+    """As ``brute``, with n-grams under ``share`` of their order's total left to the lower order."""
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        s = "   " + re.sub(r"[^a-z]+", " ", text.lower())
+        s = s if s.endswith(" ") else s + " "
+        counts[lang].update(s[i - 3 : i + 1] for i in range(3, len(s)))
+    direct, taken = {}, Counter()
+    for lang, c in counts.items():
+        levels = {4: c}
+        for k in (3, 2, 1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        for k, t in levels.items():
+            n1, n2 = (sum(1 for n in t.values() if n == x) for x in (1, 2))
+            d = min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
+            total = Counter()
+            for g, n in t.items():
+                total[g[:-1]] += n
+            for g, n in t.items():
+                if n >= share * sum(t.values()):
+                    direct[lang, g] = max(n - d, 0) / total[g[:-1]]
+                    taken[lang, k, g[:-1]] += direct[lang, g]
+
+    def p(lang, g):
+        return 2.0**-17 if not g else direct.get((lang, g), 0) + max(1 - taken[lang, len(g), g[:-1]], 1e-9) * p(lang, g[1:])
+
+    def entropy(lang, text):
+        s = "   " + re.sub(r"[^a-z]+", " ", text.lower())
+        s = s if s.endswith(" ") else s + " "
+        return -sum(math.log2(p(lang, s[i - 3 : i + 1])) for i in range(3, len(s))) / (len(s) - 3)
+
+    return entropy
+
+
+def test_shipped_and_coarse_shares_equal_brute_force(spark):
+    """Languages, scores, cross-entropies and rejection, for every row."""
+    df = corpus(spark).where("text IS NOT NULL AND doc_id <> 102").union(spark.createDataFrame([(200, "the qzx wvy dog", None), (201, "hund und xqj katze", None), (202, "over the mat", None)], "doc_id bigint, text string, lang string"))
+    rows = df.collect()
+    for share in (L.LEAST_SHARE, 0.01):
+        entropy = brute_pruned([(r.text, r.lang) for r in rows if r.lang], share)
+        bits = {r.doc_id: [entropy(x, r.text) for x in ("de", "en")] for r in rows}
+        best = {i: min(b) for i, b in bits.items()}
+        pred = {i: ("de", "en")[b.index(min(b))] for i, b in bits.items()}
+        most = {x: max(best[r.doc_id] for r in rows if r.lang == x == pred[r.doc_id]) for x in ("de", "en")}  # the 0.999 quantile of few rows
+        got = {r.row.doc_id: r for r in L.identify(df, F.lit(True), keep=["doc_id"], least_share=share).collect()}
+        assert len(got) == len(rows)
+        for i, r in got.items():
+            assert r.lang_pred == pred[i] and abs(r.cross_entropy - best[i]) < 2e-3 * best[i]
+            assert abs(r.score - 1 / sum(2 ** (-L.TEMPERATURE * (b - best[i])) for b in bits[i])) < 0.02
+            if abs(best[i] - most[pred[i]]) > 0.02:
+                assert r.rejected == (best[i] > most[pred[i]])
+        assert got[200].rejected and got[201].rejected
