@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -176,7 +177,7 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
     def write(batches):
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))  # Hadoop's names of the same store
         if not isinstance(store, fs.LocalFileSystem) or path.startswith("file:"):
             store.create_dir(root, recursive=True)
         else:  # Spark would take it as a path of its default file system
