@@ -60,9 +60,20 @@ def url_b(base: str, link: Column) -> Column:
     return F.concat(F.lit(base), F.coalesce(link, F.lit("")))
 
 
+def parsed(pages: DataFrame, html: str, schema: str, where: list[str], strict: bool) -> DataFrame:
+    """``pages`` without html but with ``__p``, a part of its JSON.
+
+    A generator makes the column: filters on it are not pushed below, so a page is not parsed again for each of them.
+    """
+    one = parse(envelope(F.col(html)), schema, strict)
+    for name in where:
+        one = one[name]
+    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != html], F.explode(F.array(one)).alias("__p"))
+
+
 def catalogue_a(pages: DataFrame, base_url: str, page_no: str = "page_no", html: str = "html", strict: bool = False) -> DataFrame:
     """Store A's product rows (sku, marca, titulo, precio_clp, url) with page_no and pos."""
-    body = pages.withColumn("__p", parse(envelope(F.col(html)), CATALOGUE_A, strict)["props"]["pageProps"])
+    body = parsed(pages, html, CATALOGUE_A, ["props", "pageProps"], strict)
     p = F.col("__p")
     good = F.coalesce(F.size(p["results"]), F.lit(0)) > 0
     kept = prefix_until_empty(body, page_no, good, page_count_a(p["pagination"]["count"], p["pagination"]["perPage"]))
@@ -77,7 +88,7 @@ def catalogue_a(pages: DataFrame, base_url: str, page_no: str = "page_no", html:
 
 def catalogue_b(pages: DataFrame, base_url: str, page_no: str = "page_no", html: str = "html", strict: bool = False) -> DataFrame:
     """Store B's product rows, with their specifications as a map."""
-    body = pages.withColumn("__p", parse(envelope(F.col(html)), CATALOGUE_B, strict)["props"]["pageProps"]["serverProductsResponse"])
+    body = parsed(pages, html, CATALOGUE_B, ["props", "pageProps", "serverProductsResponse"], strict)
     p = F.col("__p")
     good = F.coalesce(F.size(p["productList"]), F.lit(0)) > 0
     kept = prefix_until_empty(body, page_no, good, page_count_b(p["recordsFiltered"]))
