@@ -8,8 +8,9 @@ Encoding
    characters U+0000 to U+00FF, which the map's keys use too.
 3. The ``HOT`` most frequent words (a fixed bound) are folded once; their hashes and ids are
    broadcast, and documents are encoded in place.  The words of a document outside that table are
-   folded in its own row by the same expression, and fill the gaps.  No word is dropped and no
-   document is shuffled.
+   folded in its own row by the same expression, and fill the gaps.  The rows are written with their
+   words' numbers before that, so a task feeds one Python worker at a time.  No word is dropped and
+   no document is shuffled.
 Words of more than ``LONG`` bytes would make the fold quadratic; those few are merged with a heap
 instead, with the same outcome.
 
@@ -213,7 +214,9 @@ def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
 
 
 def _encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: list[str] | None, hot: int, long: int, pieces: Pieces | None) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    if max(ranks.values(), default=0) >= _NONE:
+        raise ValueError(f"ranks must be below {_NONE}")
+    sc, long = df.sparkSession.sparkContext, min(long, MOST)
     C.settings(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     known = hot_words(df, text, ranks, pattern, hot, long)

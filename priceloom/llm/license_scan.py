@@ -20,7 +20,7 @@ a share of their words to mean anything; of those that start at one word the lon
 with share 1 that starts there.  ``score``: 1 with a base phrase, otherwise the largest share of a template in a block that meets the threshold, otherwise 0.
 Words are compared by their XXH64.
 
-Null or empty text: no words, no labels, score 0.  Very long texts are scanned whole; a task then holds some 40
+Null or empty text: no words, no labels, score 0.  Very long texts are scanned whole; a task then holds some 12
 bytes for each of the text's.  Ties: of blocks with equal shares each is listed; of equally frequent words
 the one with the lesser hash comes first.  Repeated rows are judged alike.  An empty table gives an empty table,
 no templates only the base labels.  The given columns stay in ``row``, so no name can clash.
