@@ -164,10 +164,17 @@ def dictionary(samples: list[bytes]) -> bytes:
 # ---------------------------------------------------------------- Spark
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: without one it is of Spark's default file system, which a worker's library doesn't know."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub("^file:/+", "file:///", full)
+
+
 def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives below ``path`` (default: the shared folder); returns (path, records) of each."""
     spark = pages.sparkSession
-    path = path or f"{C.shared_dir(spark)}/priceloom/warc-{uuid.uuid4().hex}"
+    path = qualified(spark, path or f"{C.shared_dir(spark)}/priceloom/warc-{uuid.uuid4().hex}")
     rows = pages.select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     sample = C.sample(rows.select("id", "digest", F.substring("payload", 1, SAMPLE_CHARS).alias("start")), SAMPLE, "id", "digest")
     trained = dictionary([bytes(r.start) for r in sample.collect() if r.start])
@@ -178,10 +185,7 @@ def write_archives(pages: DataFrame, path: str | None = None, page_id: str = "pa
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))  # Hadoop's names of the same store
-        if not isinstance(store, fs.LocalFileSystem) or path.startswith("file:"):
-            store.create_dir(root, recursive=True)
-        else:  # Spark would take it as a path of its default file system
-            raise ValueError(f"give the archives' folder with its scheme: {path}")
+        store.create_dir(root, recursive=True)
         codec = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None, write_checksum=True, write_content_size=True)
         lead = struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained if trained else b""
         out, name, n = None, "", 0
