@@ -68,10 +68,14 @@ class WordStore:
         new = np.flatnonzero(rows < 0)
         if len(new):
             fresh = [keys[i] for i in new]
-            for column, (values, sizes) in zip(self.columns, self.make(fresh)):
-                column.append(values, sizes)
-            at = len(self.known)
-            rows[new] = np.arange(at, at + len(new))
-            self.known.update(zip(fresh, range(at, at + len(new))))
-            self.bytes += sum(map(len, fresh))
+            rows[new] = self.add(fresh)
+            self.known.update(zip(fresh, rows[new].tolist()))
         return rows[numbers]
+
+    def add(self, words: list[bytes]) -> np.ndarray:
+        """The new rows of words that are made and not looked up again."""
+        at = self.columns[0].n
+        for column, (values, sizes) in zip(self.columns, self.make(words)):
+            column.append(values, sizes)
+        self.bytes += sum(map(len, words))
+        return np.arange(at, at + len(words))

@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from priceloom.llm import bpe, context_tree, decontaminate, language_id, license_scan, line_dedup, quality_classifier, quality_rules, simhash
+from priceloom.llm import bpe, context_tree, decontaminate, language_id, license_scan, line_dedup, quality_classifier, quality_rules, simhash, token_alignment
 from tests.llm.docs import TEXTS, frame
 
-NAMES = ["text_", "row_", "id", "key", "keys", "number", "line", "drop", "words", "numbers", "gaps", "folded", "ids", "fp", "component", "leaks", "labels", "score", "lang_pred", "own", "g0", "n", "x", "host", "path", "vote", "logs", "rest", "grams"]
+NAMES = ["text_", "row_", "id", "key", "keys", "number", "line", "drop", "words", "numbers", "gaps", "folded", "ids", "fp", "component", "leaks", "labels", "score", "lang_pred", "own", "g0", "n", "x", "host", "path", "vote", "logs", "rest", "grams", "more_best", "pair", "n_a", "groups"]
 P = pytest.importorskip("public_tokenizers")
 
 
@@ -22,6 +22,7 @@ OPERATORS = {
     "license_scan": license_scan.scan,
     "quality_rules": quality_rules.quality_rules,
     "bpe": lambda df: bpe.encode(df, bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, hot=20),
+    "token_alignment": lambda df: token_alignment.align(df, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), hot=30),
     "language_id": lambda df: language_id.identify(df, F.lit(True)).drop("rejected").withColumns({c: F.round(c, 6) for c in ("score", "cross_entropy")}),
     "simhash": lambda df: simhash.near_dedup(df).select(F.struct(F.col("id").alias("doc_id")).alias("row"), "fp", "component"),
 }
