@@ -22,6 +22,7 @@ documents of their own, and null ids need no care.  An empty table gives an empt
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 from itertools import chain
 
@@ -36,8 +37,14 @@ from .word_store import WordStore
 
 HOT, MERGE = 1 << 20, 1 << 20
 #: Bytes of text that are aligned at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 22
 SPACE, MARK = 0x20, "▁"
+#: Different words of the first vocabulary's splitter that a worker keeps.
+PARTS = 1 << 17
+
+# What the splitter of byte-level vocabularies finds in printable ASCII and letters up to U+00FF without further spaces.
+PLAIN = re.compile(" [!-~À-ÖØ-öø-ÿ]+")
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-z0-9À-ÖØ-öø-ÿ]+")
 
 #: Lead bytes of characters that are safe beside a cut: printable ASCII but space, and leads of no white space (which begins with C2, E1, E2 or E3).
 SAFE = np.array([0x21 <= b <= 0x7E or 0xC4 <= b <= 0xDF or b == 0xC3 or 0xE4 <= b <= 0xF4 or b == 0xE0 for b in range(256)])
@@ -91,6 +98,7 @@ class Pair:
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
+        self.parts: dict[str, list[int]] = {}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters, vocabulary = byte_letters(), self.a.get_vocab(with_added_tokens=True)
         spelt: list[bytes] = [b""] * (max(vocabulary.values(), default=-1) + 1)
@@ -102,6 +110,7 @@ class Pair:
         self.bytes_a = Bytes(spelt)
         self.bytes_b = Bytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)])
         self.width = len(pieces)
+        self.letters = {b: c for c, b in letters.items()}
         self.decimals = [np.char.add(np.arange(max(len(spelt), len(pieces))).astype("S"), sign) for sign in (b",", b"|", b";")]
         self.decimals = [Bytes(x.tolist()) for x in self.decimals]
 
@@ -128,11 +137,30 @@ class Pair:
         bounds = np.append(starts, len(data))
         return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]), np.searchsorted(off, starts, "right") - 1
 
-    def make(self, pieces: list[bytes], score=None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For different pieces: links, groups' text, and numbers (valid, first tokens, second tokens, groups[, best links, counts])."""
+    def first_ids(self, texts: list[str]) -> list[list[int]]:
+        """The first tokenizer's ids; what ``PLAIN`` tells is split here, and each different part goes to the library's merges once."""
+        known, tokenize, out, rest = self.parts, self.a.model.tokenize, [], []
+        if len(known) > PARTS:
+            known.clear()
+        for k, text in enumerate(texts):
+            ids: list[int] = []
+            if PLAIN.fullmatch(text):
+                for part in SPLIT.findall(text):
+                    if (found := known.get(part)) is None:
+                        found = known[part] = [t.id for t in tokenize(part.encode().decode("latin-1").translate(self.letters))]
+                    ids += found
+            else:
+                rest.append(k)
+            out.append(ids)
+        for k, e in zip(rest, self.a.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
+
+    def make(self, pieces: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For different pieces: links, groups' text, and numbers (valid, first tokens, second tokens, groups)."""
         n = len(pieces)
         texts = [p.decode() for p in pieces]
-        got_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        got_a = self.first_ids(texts)
         got_b = self.b.encode([t[1:] for t in texts], num_threads=1)
         size_a, size_b = np.fromiter(map(len, got_a), np.int64, n), np.fromiter(map(len, got_b), np.int64, n)
         a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(s.sum())) for x, s in ((got_a, size_a), (got_b, size_b)))
@@ -144,7 +172,6 @@ class Pair:
         links = a[at_a] * self.width + b[at_b]
         owner = np.repeat(np.arange(n), size_a)[at_a]
         n_links = np.bincount(owner, minlength=n)
-        link_bounds = np.concatenate([[0], np.cumsum(n_links)])
         n_groups = np.bincount(owner[shared], minlength=n)
         # the tokens of both sides in order of group, side and place, each with the sign that follows it
         group = np.cumsum(shared) - shared
@@ -159,9 +186,6 @@ class Pair:
         told = self.signs[np.repeat(start - stop + width, width) + np.arange(int(stop[-1]) if len(stop) else 0)]
         whose = np.concatenate([np.repeat(np.arange(n), size_a), np.repeat(np.arange(n), size_b)])[order]
         numbers = [valid, size_a, size_b, n_groups]
-        if score is not None:
-            best, count = score(links)
-            numbers += [totals(best, link_bounds), totals(count, link_bounds)]
         return [(links, n_links), (told, np.bincount(whose, width, n).astype(np.int64)), (np.stack(numbers, 1).astype(np.int64).ravel(), np.full(n, len(numbers), np.int64))]
 
     @property
@@ -180,8 +204,8 @@ class Pair:
             return good
         return np.fromiter((joined[bounds[k] : bounds[k + 1]].tobytes() == pieces[k] for k in range(n)), bool, n)
 
-    def store(self, score=None) -> WordStore:
-        return WordStore(lambda pieces: self.make(pieces, score), [np.int64, np.uint8, np.int64])
+    def store(self) -> WordStore:
+        return WordStore(self.make, [np.int64, np.uint8, np.int64])
 
 
 @cache
@@ -190,7 +214,7 @@ def pair_of(path_a: str, path_b: str) -> Pair:
 
 
 @cache
-def plain_store(path_a: str, path_b: str) -> WordStore:
+def store_of(path_a: str, path_b: str) -> WordStore:
     """Kept by a worker from task to task."""
     return pair_of(path_a, path_b).store()
 
@@ -244,16 +268,30 @@ def scored(known: tuple[np.ndarray, np.ndarray, np.ndarray], links: np.ndarray)
 
 # ---------------------------------------------------------------- Spark
 
-_SCORED: dict[str, WordStore] = {}
+class Scores:
+    """The sums over a store's links, by row: how many are best, and their counts; made once for each row and table."""
+
+    last: Scores | None = None
+
+    def __init__(self, key: str, store: WordStore, known: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.key, self.store, self.known, self.epoch, self.sums = key, store, known, -1, np.zeros((0, 2), np.int64)
 
+    @classmethod
+    def of(cls, key: str, store: WordStore, held) -> Scores:
+        """A worker keeps those of the last broadcast table."""
+        if cls.last is None or cls.last.key != key or cls.last.store is not store:
+            cls.last = cls(key, store, held.value)
+        return cls.last
 
-def scored_store(path_a: str, path_b: str, held, key: str) -> WordStore:
-    """The store that scores by the broadcast table ``held``; a worker keeps that of the last table."""
-    if key not in _SCORED:
-        _SCORED.clear()
-        known = held.value
-        _SCORED[key] = pair_of(path_a, path_b).store(lambda links: scored(known, links)[1:])
-    return _SCORED[key]
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        links = self.store.columns[0]
+        if self.epoch != self.store.epoch:
+            self.epoch, self.sums = self.store.epoch, self.sums[:0]
+        if (at := len(self.sums)) < links.n:
+            bounds = links.bounds[at : links.n + 1]
+            _, best, count = scored(self.known, links.held[bounds[0] : bounds[-1]])
+            self.sums = np.concatenate([self.sums, totals(np.stack([best, count], 1), bounds - bounds[0])])
+        return self.sums[rows]
 
 
 def count_links(df: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
@@ -262,7 +300,7 @@ def count_links(df: DataFrame, path_a: str, path_b: str, text: str = "text") ->
     width = pair_of(path_a, path_b).width
 
     def run(batches):
-        pair, store = pair_of(path_a, path_b), plain_store(path_a, path_b)
+        pair, store = pair_of(path_a, path_b), store_of(path_a, path_b)
         pairs = len(pair.bytes_a.size) * pair.width
         held, rows = [], 0
         for batch in batches:
@@ -311,14 +349,15 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", keep: lis
         src = src.join(found, "id", "left").select("row", "text", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("more_best", "more_count")))
 
     def run(batches):
-        pair, store = pair_of(path_a, path_b), scored_store(path_a, path_b, held, key)
+        pair, store = pair_of(path_a, path_b), store_of(path_a, path_b)
+        scores = Scores.of(key, store, held)
         for batch in batches:
             for part in C.chunks(batch, "text", CHUNK_BYTES):
                 rows, owner = rows_of(pair, store, part.column(1))
                 bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 links = totals(store.columns[0].size(rows), bounds)
-                numbers = totals(store.columns[2].take(rows)[0].reshape(len(rows), 6), bounds) if len(rows) else np.zeros((part.num_rows, 6), np.int64)
-                told, size = store.columns[1].take(rows)
+                numbers = totals(np.concatenate([store.columns[2].take(rows)[0].reshape(len(rows), 4), scores.take(rows)], 1), bounds)
+                told, size = store.columns[1].take_bytes(rows)
                 off = np.concatenate([[0], np.cumsum(totals(size, bounds))])
                 ended = off[1:][off[1:] > off[:-1]] - 1  # the sign after a text's last group
                 kept = np.ones(len(told), bool)
@@ -336,7 +375,7 @@ def rare_links(path_a: str, path_b: str, held):
     """For ``mapInArrow``: (id, pair, times) of the links that the table ``held`` doesn't have."""
 
     def run(batches):
-        pair, store = pair_of(path_a, path_b), plain_store(path_a, path_b)
+        pair, store = pair_of(path_a, path_b), store_of(path_a, path_b)
         pairs, known = len(pair.bytes_a.size) * pair.width, held.value
         for batch in batches:
             for part in C.chunks(batch, "text", CHUNK_BYTES):
