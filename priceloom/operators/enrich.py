@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import envelope as E
+from . import page_tree
 
 
 def pending(base: DataFrame, done: DataFrame, key: str = "sku", order: list | None = None) -> DataFrame:
@@ -40,9 +41,8 @@ def one_page(details: DataFrame, url: str, html: str) -> DataFrame:
 
 def enrich_a(products: DataFrame, details: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Store A: description and specification table of each product's page; defaults where the page is missing."""
-    joined = products.join(one_page(details, url, html), url, "left")
-    page = F.col("__html")
-    return joined.withColumns({"descripcion": F.coalesce(E.description(page), F.lit(E.NO_DESCRIPTION)), "especificaciones": E.specification_table(page)}).drop("__html")
+    joined = products.drop("descripcion", "especificaciones").join(one_page(details, url, html), url, "left")
+    return page_tree.details(joined, "__html").drop("__html")
 
 
 def enrich_b(products: DataFrame, details: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -17,6 +17,7 @@ from priceloom.operators import compare as P
 from priceloom.operators import enrich as N
 from priceloom.operators import envelope as E
 from priceloom.operators import index as I
+from priceloom.operators import page_tree
 from priceloom.operators import search as S
 from priceloom.operators import standardize as Z
 from priceloom.session import configure
@@ -287,12 +288,12 @@ def detail_page(k: Column) -> Column:
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Sin descripción' ELSE 'Linea ' || page_id || ' dos' END AS descripcion FROM pages")
 def q_html_desc(spark, t):
-    return t("pages").select("page_id", E.description(detail_page(F.col("page_id"))).alias("descripcion"))
+    return page_tree.details(t("pages").select("page_id", detail_page(F.col("page_id")).alias("html"))).select("page_id", "descripcion")
 
 
 @query("SELECT page_id, key, CASE key WHEN 'Largo' THEN page_id || 'mm' ELSE 'nuevo' END AS value FROM pages, (VALUES ('Largo'), ('Uso')) AS v(key) WHERE page_id % 4 <> 0")
 def q_spec_table(spark, t):
-    return t("pages").select("page_id", F.explode(E.specification_table(detail_page(F.col("page_id")))).alias("key", "value"))
+    return page_tree.details(t("pages").select("page_id", detail_page(F.col("page_id")).alias("html"))).select("page_id", F.explode("especificaciones").alias("key", "value"))
 
 
 # ---------------------------------------------------------------- catalogue rows
