@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from priceloom.operators import clustered
 from priceloom.operators import compare as P
 from priceloom.operators import embed
 from priceloom.operators import index as I
@@ -51,6 +52,27 @@ def q_trained_answers(spark, t):
     return found.select("query_id", "store", "idx", F.round("similarity", 4).alias("similarity"), "number_match", "is_match", F.round("unit_price", 4).alias("unit_price"))
 
 
+# ---------------------------------------------------------------- clustered index
+
+
+@query(C.ORACLE_SQL["q_hybrid_topk"])
+def q_clustered_topk(spark, t):
+    """The queries of q_hybrid_topk, answered from a stored clustered index."""
+    path = scratch(spark, "clustered")
+    clustered.write(C.index(t), path)
+    found = clustered.top_candidates(spark, path, C.pair_queries(t))
+    return found.select("query_id", "store", "idx", F.round("cosine", 4).alias("cosine"), "shared", F.round("score", 4).alias("score"), "rank")
+
+
+@query(f"WITH {C.PRODUCTS_SQL}, {C.INDEX_SQL}, {C.PAIRS_SQL} SELECT query_id, store, count(*) AS rows, TRUE AS some_read FROM q, ix GROUP BY query_id, store")
+def q_clustered_share(spark, t):
+    """How many of each store's rows the clustered search scores for a query (never more than all)."""
+    path = scratch(spark, "clustered")
+    clustered.write(C.index(t), path)
+    read = clustered.share_read(spark, path, C.pair_queries(t))
+    return read.select("query_id", "store", "rows", F.col("rows_read").between(1, F.col("rows")).alias("some_read"))
+
+
 # ---------------------------------------------------------------- page tree
 
 _PLAIN = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
