@@ -7,7 +7,7 @@ Encoding
    is a literal: an array of small maps, so that a look-up scans one bucket.  Bytes are carried as the
    characters U+0000 to U+00FF, which the map's keys use too.
 3. The ``HOT`` most frequent words (a fixed bound) are folded once; their hashes and ids are
-   broadcast, and documents are encoded in place.  The words of a document outside that table are
+   broadcast with the words' bytes, and documents are encoded in place.  The words of a document outside that table are
    folded in its own row by the same expression, and fill the gaps.  The rows are written with their
    words' numbers before that, so a task feeds one Python worker at a time.  No word is dropped and
    no document is shuffled.
@@ -138,28 +138,22 @@ def words(text: Column, pattern: str) -> Column:
 
 
 class HotWords:
-    """Words by 64-bit hash, numbered from 1, in ``numbers``; the ids of word k are ids[off[k] : off[k + 1]], none for 0."""
+    """``words``, found by the 64-bit hashes in ``numbers``; the ids of the k-th are ids[off[k + 1] : off[k + 2]], none for -1."""
 
     def __init__(self, batches: list[pa.RecordBatch], most: int):
+        words = [pa.array([], pa.large_binary())]
         keys, sizes, ids = [np.zeros(0, C.U64)], [np.zeros(2, np.int32)], [np.zeros(0, np.int32)]
         small = np.min_scalar_type(most)
         for batch in batches:
             lists = batch.column("ids")
             off = lists.offsets.to_numpy()
-            keys.append(C.hashes(batch.column("word")))
+            keys.append(C.hash_each(batch.column("word")))
+            words.append(batch.column("word").cast(pa.large_binary()))
             sizes.append(np.diff(off).astype(np.int32))
             ids.append(lists.values.to_numpy()[off[0] : off[-1]].astype(small))
         keys = np.concatenate(keys)
         self.ids, self.off = np.concatenate(ids), np.cumsum(np.concatenate(sizes), dtype=np.int32)
-        self.numbers = C.Lookup(keys, np.arange(1, len(keys) + 1, dtype=np.uint32))
-
-
-def number_of(numbers: C.Lookup, h: np.ndarray) -> np.ndarray:
-    """The word number of each hash, or 0."""
-    if not len(numbers.h):
-        return np.zeros(len(h), np.uint32)
-    at = numbers.find(h)
-    return np.where(at >= 0, numbers.values[at], 0).astype(np.uint32)
+        self.numbers, self.words = C.Lookup(keys, np.arange(len(keys), dtype=np.uint32)), pa.concat_arrays(words)
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -221,19 +215,19 @@ def _encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, kee
     df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     known = hot_words(df, text, ranks, pattern, hot, long)
     # in two parts: the workers that look words up hold no ids, and the other way round
-    held_numbers, held_ids, held_ranks = sc.broadcast(known.numbers), sc.broadcast((known.ids, known.off, pieces)), sc.broadcast(ranks)
+    held_numbers, held_ids, held_ranks = sc.broadcast((known.numbers, known.words)), sc.broadcast((known.ids, known.off, pieces)), sc.broadcast(ranks)
     del known
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"), words(F.col(f"`{text}`"), pattern).alias("words"))
 
     def fill(batches):
-        numbers_of = held_numbers.value
+        hot_table, hot_bytes = held_numbers.value
         for batch in batches:
             lists = batch.column(1)
             bounds = lists.offsets.to_numpy().astype(np.int64)
             for at, to in slices(bounds, 1 << 19):
                 part = lists.values.slice(bounds[at], bounds[to] - bounds[at])
                 code, different = C.numbered(part)
-                found = number_of(numbers_of, C.hash_each(different))[code]
+                found = C.confirmed(hot_table, hot_bytes, different)[code] + 1  # from 1; 0 is no hot word
                 cut = bounds[at : to + 1] - bounds[at]
                 gaps = np.flatnonzero(found == 0)
                 gap_cut = pa.array(np.searchsorted(gaps, cut).astype(np.int32))

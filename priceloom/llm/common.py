@@ -5,7 +5,7 @@ Every per-text computation of this subpackage runs as a Spark ``mapInArrow`` ove
 once with numpy; ``CHUNK_BYTES`` bounds the temporaries, whatever the batch size is.
 
 Words and lines are compared by their bytes: Arrow's dictionary encoding numbers the different ones of
-a chunk.  Where a value must be known outside its chunk, its XXH64 stands for it.
+a chunk.  Where a value must be found outside its chunk, it is looked up by its XXH64 and held against its bytes.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from priceloom.session import shared_dir
+
 #: Bytes of text that are handled by numpy at once (a longer single text is handled alone).
 CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch at most; the session's own setting is lowered to it, not raised.
@@ -36,17 +39,6 @@ U64 = np.uint64
 # ---------------------------------------------------------------- shared storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``; in local mode one of our own if that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file:///tmp/priceloom-shared"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/priceloom/{name}-{uuid.uuid4().hex}"
@@ -199,6 +191,16 @@ class Lookup:
         return out
 
 
+def confirmed(table: Lookup, words: pa.Array, different: pa.Array) -> np.ndarray:
+    """For each of some different words its place in ``words``, or -1: found by the hash in ``table`` (whose values are places), held against the bytes."""
+    if not len(table.h) or not len(different):
+        return np.full(len(different), -1, np.int64)
+    at = table.find(hash_each(different))
+    place = np.where(at >= 0, table.values[at], 0).astype(np.int64)
+    same = pc.equal(words.take(pa.array(place)), different.cast(words.type)).to_numpy(zero_copy_only=False)
+    return np.where((at >= 0) & same, place, -1)
+
+
 def sums_by(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(owner, weights=weights, minlength=n).astype(np.int64)
 

@@ -317,8 +317,9 @@ def score(df: DataFrame, learn: Column, text: str = "text", keep: list[str] | No
 
     rows = words.where(F.col("seen") >= C.least_count(words, hot, "seen")).toArrow()
     times = rows.column("n").to_numpy()
-    word_hashes = np.concatenate([np.zeros(0, C.U64), *(C.hashes(b.column(0)) for b in rows.to_batches(max_chunksize=1 << 16))])
-    known = sc.broadcast(C.Lookup(word_hashes, np.stack([np.log10(times + 1.0), times > 0], 1)))
+    hot_words = rows.column("word").cast(pa.large_binary()).combine_chunks()
+    word_hashes = np.concatenate([np.zeros(0, C.U64), *(C.hash_each(b.column(0)) for b in rows.to_batches(max_chunksize=1 << 16))])
+    known = sc.broadcast((C.Lookup(word_hashes, np.arange(len(times))), hot_words, np.stack([np.log10(times + 1.0), times > 0], 1)))
     rows = coded.where(F.col("seen") >= C.least_count(coded, hot, "seen")).toArrow()
     codes = sc.broadcast(C.Lookup(C.mix(rows.column("gram").to_numpy().view(C.U64)), rows.column("log10").to_numpy().astype(np.float32)))
     del rows
@@ -335,10 +336,12 @@ def score(df: DataFrame, learn: Column, text: str = "text", keep: list[str] | No
         data = C.ASCII_LOWER[flat.data]
         starts, ends, of = flat.runs(~C.IS_SPACE[data])
         held = C.packed(data, starts, ends)
-        at = known.value.find(C.hashes(held))
+        table, hot_words, values = known.value
+        number, different = C.numbered(held)
+        at = C.confirmed(table, hot_words, different)[number]
         hit = at >= 0
         rest = listed(of[~hit], held.filter(pa.array(~hit)).cast(pa.large_string()), n)
-        value = known.value.values[at[hit]].reshape(-1, 2)
+        value = values[at[hit]].reshape(-1, 2)
         return {
             "words": C.sums_by(of, n), "hits": C.sums_by(of[hit], n, value[:, 1]), "sum": np.bincount(of[hit], weights=value[:, 0], minlength=n).astype(float),
             "logs": logs, "bytes": np.diff(flat.off), "rest": rest[0].cast(pa.list_(pa.string())), "rest_times": rest[1], "grams": grams[0], "grams_times": grams[1],

@@ -32,6 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,18 +66,29 @@ IS_WORD = ~C._table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B,
 FIELDS = [("n_words", "bigint"), ("n_base", "bigint"), ("first_word", "bigint"), ("last_word", "bigint"), ("base_labels", "string"), ("labels", "string"), ("score", "double"), ("blocks", "array<struct<label:string,first_word:bigint,shared:double>>")]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, place in its text) of every word; and the number of words of each text."""
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, text number, place in its text) of every word; and the number of words of each text."""
     flat = C.Flat(texts)
     data = C.ASCII_LOWER[flat.data]
     starts, ends, owner = flat.runs(IS_WORD[data])
     n_words = C.sums_by(owner, flat.n)
     place = np.arange(len(owner)) - (np.cumsum(n_words) - n_words)[owner]
-    return C.hashes(C.packed(data, starts, ends)), owner, place, n_words
+    return C.packed(data, starts, ends), owner, place, n_words
 
 
-def tokens(text: str) -> np.ndarray:
-    return word_hashes(pa.array([text]))[0]
+class Words:
+    """The words that are looked for, numbered: equal bytes, and only those, share a number."""
+
+    def __init__(self, texts: list[str]):
+        self.held = pc.unique(split_words(pa.array(texts, pa.string()))[0])
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each word; -1 of others."""
+        code, different = C.numbered(words)
+        return pc.index_in(different, value_set=self.held).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+
+    def of(self, text: str) -> np.ndarray:
+        return self.numbers(split_words(pa.array([text]))[0])
 
 
 def stands(words: np.ndarray, h: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -89,13 +101,14 @@ def stands(words: np.ndarray, h: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The words of the templates, by hash."""
+    """The words of the templates, by number."""
 
     def __init__(self, templates: dict[str, str]):
         self.labels = list(templates)
-        self.sets = [np.unique(tokens(t)) for t in templates.values()]
-        self.lengths = [len(tokens(t)) for t in templates.values()]
-        self.words = np.unique(np.concatenate([*self.sets, np.zeros(0, C.U64)]))
+        self.all = Words([*templates.values(), *PHRASES, *NOTICES])
+        self.sets = [np.unique(self.all.of(t)) for t in templates.values()]
+        self.lengths = [len(self.all.of(t)) for t in templates.values()]
+        self.words = np.unique(np.concatenate([*self.sets, np.zeros(0, np.int64)]))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each word, or -1."""
@@ -141,8 +154,8 @@ def frequencies(df: DataFrame, text: str, vocabulary: Vocabulary) -> dict[int, i
         total = np.zeros(n, np.int64)
         for batch in batches:
             for part in C.chunks(batch, "text"):
-                h, owner, _, _ = word_hashes(part.column(0))
-                k = vocabulary.find(h)
+                words, owner, _, _ = split_words(part.column(0))
+                k = vocabulary.find(vocabulary.all.numbers(words))
                 seen = np.unique(owner[k >= 0] * n + k[k >= 0])
                 total += np.bincount(seen % max(n, 1), minlength=n)
         some = np.flatnonzero(total)
@@ -156,6 +169,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, templ
     """``row`` (struct of ``keep``) with FIELDS; ``blocks`` lists every block that holds a template; ``window``: for all templates alike."""
     vocabulary = Vocabulary(TEMPLATES if templates is None else templates)
     join = Join(vocabulary, frequencies(df, text, vocabulary), threshold)
+    tokens = vocabulary.all.of
     phrases = [(tokens(p), label) for p, label in PHRASES.items()]
     notices = sorted(((tokens(w), label) for w, label in (NOTICES if templates is None else {}).items()), key=lambda x: -len(x[0]))
     short_cc = tokens("cc")[0]
@@ -167,8 +181,8 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, templ
         sizes.setdefault(step, []).append(t)
 
     def run(_, texts):
-        h, owner, place, n_words = word_hashes(texts)
-        n = len(texts)
+        words, owner, place, n_words = split_words(texts)
+        h, n = vocabulary.all.numbers(words), len(texts)
         n_base, first, last = np.zeros(n, np.int64), np.full(n, 1 << 62), np.full(n, -1)
         base: list[set] = [set() for _ in range(n)]
         for words, label in phrases:

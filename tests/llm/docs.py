@@ -7,6 +7,9 @@ PROSE = " ".join(WORDS[(i * i + 3 * i) % len(WORDS)] + str(i % 7) for i in range
 #: Two texts of one polynomial hash modulo 2**64, whatever its base: letters by the parity of their place's bits, and the other way round.
 TWINS = ["".join("ab"[i.bit_count() & 1 ^ k] for i in range(1024)) for k in (0, 1)]
 
+#: Two words of one XXH64.
+COLLIDING = ["jokkjdes" + "q" * 24 + "zzazaaza" + "z" * 24, "heloqvah" + "q" * 24 + "axvjxmuc" + "z" * 24]
+
 TEXTS = [
     None, "", "\n", " \n \t", "a", "one line", PROSE, PROSE, PROSE.upper(), PROSE + "\nextra line at the end of the text here",
     "same line repeated here\n" * 6, "And " * 80, "x#y$ z%%% &&& |a| <b>", LONG, "é ü ß 日本語 " * 20, "tab\tsep\x0bvt\x0cff\rcr end",

@@ -6,7 +6,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from priceloom.llm import bpe
-from tests.llm.docs import TEXTS, frame
+from tests.llm.docs import COLLIDING, TEXTS, frame
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -58,3 +58,11 @@ def test_round_trip_equals_encode_and_decode(spark, ranks):
     assert once == twice and len(once) == len(TEXTS + ODD)
     assert bpe.decode(spark.createDataFrame([(1, None)], "k int, ids array<int>"), ranks).first().decoded == b""
     assert bpe.round_trip(df.limit(0), {}, P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("hot", [bpe.HOT, 1, 0])
+def test_words_of_one_hash_differ(spark, ranks, library, hot):
+    texts = [*COLLIDING, " ".join(COLLIDING), COLLIDING[1]]
+    rows = {r.row.doc_id: r for r in bpe.round_trip(frame(spark, texts), ranks, P.PATTERN, keep=["doc_id"], hot=hot).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].ids == library.encode_ordinary(t) and bytes(rows[i].decoded) == t.encode()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceloom.llm import context_tree as T
-from tests.llm.docs import PROSE, TEXTS, TWINS, frame
+from tests.llm.docs import COLLIDING, PROSE, TEXTS, TWINS, frame
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -141,3 +141,10 @@ def test_known_words_are_compared_whole(spark):
     for hot in (T.HOT, 0):
         got = {r.row.doc_id: r.n_known for r in T.score(frame(spark, TWINS), F.col("doc_id") == 0, keep=["doc_id"], hot=hot).collect()}
         assert got == {0: 2, 1: 1}
+
+
+@pytest.mark.parametrize("hot", [T.HOT, 0])
+def test_words_of_one_hash_differ(spark, hot):
+    a, b = COLLIDING
+    got = {r.row.doc_id: r.n_known for r in T.score(frame(spark, [a, f"{a} {b}", b]), F.col("doc_id") == 0, keep=["doc_id"], hot=hot).collect()}
+    assert got == {0: 2, 1: 2, 2: 1}

@@ -3,7 +3,7 @@ import random
 import re
 
 from priceloom.llm import license_scan as S
-from tests.llm.docs import LONG, PROSE, TEXTS, frame
+from tests.llm.docs import COLLIDING, LONG, PROSE, TEXTS, frame
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RND = random.Random(4)
@@ -70,3 +70,9 @@ def test_long_templates(spark):
     got = {r.row.doc_id: (r.labels, r.score) for r in S.scan(frame(spark, texts), keep=["doc_id"], templates=S.TEMPLATES | long).collect()}
     assert got[0] == ("own", 1.0) and got[1][0] == "huge" and 0.8 <= got[1][1] < 1 and got[2] == ("isc", 1.0) and got[3] == ("", 0.0)
     assert brute(texts[0], long, 512)[5:7] == got[0]
+
+
+def test_words_of_one_hash_differ(spark):
+    a, b = COLLIDING
+    got = {r.row.doc_id: (r.labels, r.score) for r in S.scan(frame(spark, [a, b, f"{a} {b}"]), keep=["doc_id"], templates={"own": a, "both": f"{b} {a}"}, threshold=1.0).collect()}
+    assert got == {0: ("own", 1.0), 1: ("", 0.0), 2: ("both,own", 1.0)}
