@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from priceloom.operators import compare, enrich, search
 
@@ -26,23 +26,65 @@ def answer_queries(asked: DataFrame, index: DataFrame, out: str, checkpoint: str
     return asked.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def enrich_new(products: DataFrame, details: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Enrich products whose sku has no output yet; those that earlier batches wrote are skipped."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema = enrich.enrich_a(batch, details).schema
-        done = spark.read.schema(schema).option("basePath", out).option("ignoreMissingFiles", "true").parquet(out).where(F.input_file_name().rlike("batch=") & ~F.input_file_name().contains(f"batch={number}/")) if _exists(spark, out) else spark.createDataFrame([], schema)
-        enrich.enrich_a(enrich.pending(batch, done), details).write.mode("overwrite").parquet(f"{out}/batch={number}")
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+class FirstRows(StatefulProcessor):
+    """The first row of each key; later ones are passed over until ``again_after_s`` seconds have gone by (0: for good).
+
+    The state store holds the time until which a key is done; a timer removes it then.
+    """
+
+    def __init__(self, again_after_s: float):
+        self.again_after_ms = int(again_after_s * 1000)
 
-    return products.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "until bigint")
 
+    def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentProcessingTimeInMs() if self.again_after_ms else 0
+        if self.until.exists() and (not self.again_after_ms or now < self.until.get()[0]):
+            return
+        first = next(iter(rows), None)
+        if first is not None:
+            self.until.update((now + self.again_after_ms,))
+            if self.again_after_ms:
+                self.handle.registerTimer(now + self.again_after_ms)
+            yield first
 
-def _exists(spark, path: str) -> bool:
-    from pyspark.errors import AnalysisException
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.until.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.until.get()[0]:
+            self.until.clear()
+        return iter([])
 
+    def close(self) -> None:
+        pass
+
+
+def first_rows(stream: DataFrame, key: str = "sku", again_after_s: float = 0) -> DataFrame:
+    """A stream's first row of each key, whatever micro-batches and restarts lie between; rows without a key are passed over."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = "ProcessingTime" if again_after_s else "None"
+    return stream.where(F.col(key).isNotNull()).groupBy(key).transformWithState(FirstRows(again_after_s), stream.schema, "Append", timed)
+
+
+def enrich_new(products: DataFrame, details: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, again_after_s: float = 0) -> StreamingQuery:
+    """Enrich products whose sku was not enriched yet (or not for ``again_after_s`` seconds).
+
+    Done skus are keyed state, so neither the output nor earlier batches are read again; the file sink's log and the
+    checkpoint make a restart go on where it stopped.
+    """
+    spark, trigger = products.sparkSession, trigger or {"availableNow": True}
+    new = enrich.enrich_a(first_rows(products, "sku", again_after_s), details)
+    writer = new.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger)
+    if "availableNow" not in trigger:
+        return writer.start()
+    before = spark.conf.get(NO_DATA)
+    spark.conf.set(NO_DATA, "false")  # timers ask for one more batch after every batch, so the query would not end
     try:
-        spark.read.format("binaryFile").load(path)
-        return True
-    except AnalysisException:
-        return False
+        return writer.start()
+    finally:
+        spark.conf.set(NO_DATA, before)

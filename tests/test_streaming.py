@@ -1,3 +1,6 @@
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from priceloom.operators import index as I
@@ -28,3 +31,37 @@ def test_enrichment_resumes(spark, tmp_path):
         T.enrich_new(stream, pages, out, str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert sorted(r.sku for r in rows) == ["1", "2", "3"] and rows[0].descripcion == "Sin descripción"
+
+
+def run(spark, tmp_path, skus, **options):
+    schema, src = "sku string, url string", str(tmp_path / "in")
+    spark.createDataFrame([(s, "u") for s in skus], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = T.enrich_new(stream, spark.createDataFrame([("u", "<p>")], "url string, html string"), str(tmp_path / "out"), str(tmp_path / "cp"), **options)
+    q.awaitTermination()
+    return q, Counter(r.sku for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+def test_done_keys_are_state(spark, tmp_path):
+    """Repeats are skipped after a restart, though the output has gone meanwhile; rows without a key are passed over."""
+    _, first = run(spark, tmp_path, ["1", "2", "2", None])
+    assert first == {"1": 1, "2": 1}
+    for f in (tmp_path / "out").glob("part-*"):
+        f.write_bytes(b"not read again")
+    with pytest.raises(Exception):
+        spark.read.parquet(str(tmp_path / "out")).collect()
+    spark.createDataFrame([("2", "u"), ("3", "u"), ("1", "u")], "sku string, url string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("sku string, url string").parquet(str(tmp_path / "in"))
+    q = T.enrich_new(stream, spark.createDataFrame([("u", "<p>")], "url string, html string"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress[-1:] if p["stateOperators"]) >= 3
+    good = [f for f in (tmp_path / "out").glob("part-*") if f.read_bytes()[:4] == b"PAR1"]
+    assert [r.sku for r in spark.read.parquet(*map(str, good)).collect()] == ["3"]
+
+
+def test_keys_come_again_after_a_while(spark, tmp_path):
+    _, first = run(spark, tmp_path, ["1", "2"], again_after_s=0.001)
+    _, again = run(spark, tmp_path, ["1", "1", "3"], again_after_s=0.001)
+    assert first == {"1": 1, "2": 1} and again == {"1": 2, "2": 1, "3": 1}
+    _, third = run(spark, tmp_path, ["3", "4"], again_after_s=3600)
+    assert third["4"] == 1 and third["1"] == 2
