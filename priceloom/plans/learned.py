@@ -8,6 +8,7 @@ from priceloom.operators import clustered
 from priceloom.operators import compare as P
 from priceloom.operators import embed
 from priceloom.operators import index as I
+from priceloom.operators import judge
 from priceloom.operators import page_tree
 from priceloom.operators import search as S
 from priceloom.operators import standardize as Z
@@ -52,6 +53,24 @@ def q_trained_answers(spark, t):
     return found.select("query_id", "store", "idx", F.round("similarity", 4).alias("similarity"), "number_match", "is_match", F.round("unit_price", 4).alias("unit_price"))
 
 
+# ---------------------------------------------------------------- judge
+
+BAND = 0.02  # around the cut, where a learned judge may differ from the rule
+
+_PAIR_SQL = "event_id * 37 % 1000 / 1000 AS s, event_id // 7 % 2 AS f"
+
+
+@query(f"SELECT event_id, CASE WHEN abs(s - {S.CUT}) > {BAND} THEN s >= {S.CUT} AND f = 1 END AS is_match FROM (SELECT event_id, {_PAIR_SQL} FROM events)")
+def q_judge_learned(spark, t):
+    """A judge learned from the events' labelled pairs, saved, loaded and applied to all of them; null within the band around the cut."""
+    n = F.col("event_id")
+    pairs = t("events").select("event_id", (n * 37 % 1000 / 1000).alias("similitud_texto"), (F.floor(n / 7) % 2).cast("int").alias("misma_dimension"))
+    path = scratch(spark, "judge")
+    judge.save(judge.fit(pairs.withColumn("es_match", S.judge(F.col("similitud_texto"), F.col("misma_dimension")).cast("int"))), path)
+    told = judge.judge(pairs, judge.load(path))
+    return told.select("event_id", F.when(F.abs(F.col("similitud_texto") - S.CUT) > BAND, F.col("is_match")).alias("is_match"))
+
+
 # ---------------------------------------------------------------- clustered index
 
 
