@@ -15,6 +15,8 @@ DRYWALL_NAMES = ["yeso-carton", "yesocarton", "volcanita", "vulcanita"]
 
 #: White space in a pattern: Java's and DuckDB's own class is ASCII only.
 WHITE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters as a list, for functions that take one.
+WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # The quantity grammar.
 UNIT_COUNT = r"(\d+)\s*(?:unidades|unidad\(es\)|unidad|unds|und|un\b|u\b|pcs|pz|piezas|uds)"
@@ -34,7 +36,7 @@ UNIT_COUNT, CONTAINER_COUNT, SIZE_BY, SIZE_INCH_AND_MM, SIZE_INCH, SIZE_MM = (p.
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def normalize(c: Column) -> Column:
@@ -53,7 +55,8 @@ def numbers(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """The distinct white-space separated words of a text."""
-    return F.coalesce(F.array_distinct(F.filter(F.split(c, f"{WHITE}+"), lambda x: x != "")), F.array().cast("array<string>"))
+    parts = F.split(F.translate(c, WHITE_CHARS, " " * len(WHITE_CHARS)), " ")
+    return F.coalesce(F.array_distinct(F.filter(parts, lambda x: x != "")), F.array().cast("array<string>"))
 
 
 def quantity(title: Column) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priceloom.functions import text as X
+from priceloom.session import keep
 
 BUCKETS, GRAMS, RANK, SWEEPS, SEED = 1 << 16, (3, 4), 128, 4, 42
 ROWS = 2048  # texts whose features a task multiplies at once
@@ -97,13 +98,13 @@ def _places(found: np.ndarray, buckets: int) -> np.ndarray:
 def fit(texts: DataFrame, text: str = "text", rank: int = RANK, buckets: int = BUCKETS, sweeps: int = SWEEPS, seed: int = SEED) -> DataFrame:
     """The model table of all ``texts``."""
     spark = texts.sparkSession
-    rows = texts.where(F.col(text).isNotNull()).select(text)
-    counted = document_frequencies(rows, text, buckets).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    # the features are written once, as every sweep reads them
+    rows = keep(texts.where(F.col(text).isNotNull()).select(features(F.col(text), buckets).alias("features")), "features")
+    counted = rows.select(F.explode(F.array_distinct("features")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row
     counted = counted.select("bucket", "n", inverse_frequency(F.col("n"), F.col("total")).alias("idf")).orderBy("bucket").toPandas()  # ``buckets`` rows at most
     found, idf = counted.bucket.to_numpy(), counted.idf.to_numpy()
     place, rank = _places(found, buckets), min(rank, len(found))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(found), rank)))[0] if rank else np.zeros((len(found), 0))
-    lists = rows.select(features(F.col(text), buckets).alias("features"))
     for _ in range(sweeps if rank else 0):
         held = spark.sparkContext.broadcast((basis, idf, place))
 
@@ -120,7 +121,7 @@ def fit(texts: DataFrame, text: str = "text", rank: int = RANK, buckets: int = B
                 flat = pa.array(out[few].ravel())
                 yield pa.RecordBatch.from_arrays([pa.array(few), pa.ListArray.from_arrays(pa.array(np.arange(len(few) + 1, dtype=np.int32) * basis.shape[1]), flat)], names=["at", "vec"])
 
-        summed = lists.mapInArrow(multiply, "at bigint, vec array<double>").select("at", array_to_vector("vec").alias("vec")).groupBy("at").agg(vector_to_array(Summarizer.sum(F.col("vec"))).alias("vec"))
+        summed = rows.mapInArrow(multiply, "at bigint, vec array<double>").select("at", array_to_vector("vec").alias("vec")).groupBy("at").agg(vector_to_array(Summarizer.sum(F.col("vec"))).alias("vec"))
         got = summed.toArrow()  # a row for each bucket
         product = np.zeros_like(basis)
         product[got.column("at").to_numpy()] = got.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, rank)

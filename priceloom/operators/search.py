@@ -1,7 +1,7 @@
 """Hybrid search of stated queries in the vector index (OP-38, OP-44, OP-47 to OP-53).
 
-Queries are a stated set: they are read in blocks of ``QUERY_BLOCK`` rows, each broadcast in turn, and
-the index is scanned in place.  A task scores an Arrow batch against all queries of the block with one
+Queries are a stated set: they are read in blocks of ``QUERY_BLOCK`` rows, each broadcast in turn (and let go before the
+next), and the index is scanned in place; ``clustered`` searches with queries that stay distributed.  A task scores an Arrow batch against all queries of the block with one
 matrix product, adds the token bonus through an inverted list of the queries' words, and hands on its
 best ``k`` rows a query and store; a window with a pushed group limit picks the final ones.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceloom.functions import text as X
+from priceloom.session import keep
 
 # Candidates a query and store, bonus a shared word, score limit, judge's cut.
 TOP, BONUS, LIMIT, CUT = 15, 0.05, 1.0, 0.70
@@ -92,7 +93,8 @@ class _Best:
         self.held = [q[keep], ranked[keep], *(x[order][keep] for x in rest)]
 
 
-def _block(index: DataFrame, rows: list, k: int) -> DataFrame:
+def _block(index: DataFrame, rows: list, k: int):
+    """The best ``k`` rows of each task for the queries ``rows``, and the broadcast that holds these."""
     width = max((len(r.vec) for r in rows if r.vec is not None), default=0)
     words: dict[str, list[int]] = {}
     for i, r in enumerate(rows):
@@ -117,7 +119,15 @@ def _block(index: DataFrame, rows: list, k: int) -> DataFrame:
             q, _, *rest = b.held
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array([s] * len(q), pa.string()), *map(pa.array, rest)], names=["query_id", "store", "idx", "cosine", "shared", "score"])
 
-    return index.select("store", "idx", "vec", "tokens").mapInArrow(run, _FIELDS)
+    return index.select("store", "idx", "vec", "tokens").mapInArrow(run, _FIELDS), held
+
+
+def _answered(index: DataFrame, rows: list, k: int) -> DataFrame:
+    """A block's answers, written; its queries leave the executors."""
+    found, held = _block(index, rows, k)
+    found = keep(found, "candidates")
+    held.unpersist()
+    return found
 
 
 def top_candidates(qs: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
@@ -125,11 +135,10 @@ def top_candidates(qs: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
     parts, rows = [], []
     for r in qs.select("query_id", "vec", "tokens").toLocalIterator():
         rows.append(r)
-        if len(rows) == QUERY_BLOCK:
-            parts.append(_block(index, rows, k))
-            rows = []
-    if rows or not parts:
-        parts.append(_block(index, rows, k))
+        if len(rows) > QUERY_BLOCK:  # more than one block: each is answered and put away before the next is read
+            parts.append(_answered(index, rows[:-1], k))
+            rows = rows[-1:]
+    parts.append(_answered(index, rows, k) if parts else _block(index, rows, k)[0])
     order = Window.partitionBy("query_id", "store").orderBy(F.desc(F.round("score", DIGITS)), F.desc("idx"))
     return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -1,18 +1,21 @@
-"""Registered queries over pages as a source, streams with state, and joins in time."""
+"""Registered queries over pages as a source, streams with state, sketches, SQL functions, and joins in time."""
 
 from __future__ import annotations
 
+import datetime
 import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priceloom.functions import catalog
 from priceloom.operators import asof
 from priceloom.operators import catalogue as K
+from priceloom.operators import sketches
 from priceloom.session import scratch
-from priceloom.sources import paged
-from priceloom.streaming import incremental
+from priceloom.sources import files, paged
+from priceloom.streaming import incremental, sessions
 
 from . import catalogue as C
 from .catalogue import query
@@ -65,6 +68,31 @@ def q_paged_stream(spark, t):
     return K.catalogue_a(spark.read.parquet(out).select("page_no", "html"), C.SITE_A).select("sku", "titulo", "page_no")
 
 
+@query("""WITH g AS (SELECT page_id, page_id % 7 AS shop, page_id // 7 + 1 AS page_no FROM pages), s AS (SELECT shop, max(page_no) AS last FROM g GROUP BY shop)
+  SELECT page_id, g.shop, page_no FROM g JOIN s ON g.shop = s.shop WHERE page_no < last OR g.shop % 2 = 1""")
+def q_prefix_whole(spark, t):
+    """Seven shops' pages, all of them told by page 1: odd shops have no bad page, the last page of even ones is bad."""
+    k = F.col("page_id")
+    g = t("pages").select("page_id", (k % 7).alias("shop"), (F.floor(k / 7) + 1).alias("page_no"))
+    ends = g.groupBy("shop").agg(F.max("page_no").alias("last"))
+    g = g.join(ends, "shop").withColumn("good", (F.col("page_no") < F.col("last")) | (F.col("shop") % 2 == 1))
+    return K.prefix_until_empty(g, "page_no", F.col("good"), F.col("last"), ["shop"]).select("page_id", "shop", "page_no")
+
+
+@query("SELECT r_regionkey, r_regionkey % 2 = 1 AS missing, CASE WHEN r_regionkey % 2 = 0 THEN (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) END AS n FROM region")
+def q_missing_inputs(spark, t):
+    """A file of its nations for every even region: the guard tells which regions have none."""
+    root = scratch(spark, "regions")
+    t("nation").where("n_regionkey % 2 = 0").select(F.col("n_name").alias("titulo"), "n_regionkey").write.partitionBy("n_regionkey").json(root)
+    rows = []
+    for (key,) in t("region").select("r_regionkey").collect():  # a few folders
+        try:
+            rows.append((key, False, files.read_json(spark, f"{root}/n_regionkey={key}", files.CATALOGUE, lines=True).count()))
+        except files.MissingInput:
+            rows.append((key, True, None))
+    return spark.createDataFrame(rows, "r_regionkey int, missing boolean, n bigint")
+
+
 # ---------------------------------------------------------------- streams with state
 
 
@@ -81,6 +109,83 @@ def q_stream_resume(spark, t):
     return spark.read.parquet(out).select("sku", "descripcion")
 
 
+_SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM events),
+  s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+  SELECT user_id, min(ts) AS begun, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session"""
+
+
+def _user_sessions(rows: DataFrame) -> DataFrame:
+    found = sessions.sessions(rows, "user_id", "ts", "6 hours", "1 hour", total=F.sum("value"))
+    return found.select("user_id", "begun", "ended", "n", F.round("total", 4).alias("total"))
+
+
+@query(_SESSIONS_SQL)
+def q_sessions(spark, t):
+    """Sessions of the events' users."""
+    return _user_sessions(t("events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query(_SESSIONS_SQL)
+def q_stream_sessions(spark, t):
+    """The same from a stream that brings the events in four parts, in order of time; a last row, a week later, closes all sessions."""
+    src, out = scratch(spark, "arriving"), scratch(spark, "sessions")
+    rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(4):
+        start, stop = low + k * (high - low) / 4, low + (k + 1) * (high - low) / 4
+        part = rows.where((F.col("ts") >= start) & ((F.col("ts") < stop) | F.lit(k == 3)))
+        part.coalesce(1).write.mode("append").parquet(src)  # a file is what a micro-batch takes
+    spark.createDataFrame([(None, high + datetime.timedelta(days=7), 0.0)], rows.schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sessions.write(_user_sessions(stream), out, scratch(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out).where("user_id IS NOT NULL")
+
+
+# ---------------------------------------------------------------- sketches
+
+_QUANTILES = [0.1, 0.5, 0.9]
+
+
+@query("SELECT o_orderpriority AS run, count(*) AS n, TRUE AS distinct_close, TRUE AS quantiles_close FROM orders GROUP BY o_orderpriority UNION ALL SELECT 'all', count(*), TRUE, TRUE FROM orders")
+def q_sketches(spark, t):
+    """Orders sketched by run and merged: whether distinct customers are within 5 % and quantiles within 2 % of the rank."""
+    path, orders = scratch(spark, "sketches"), t("orders")
+    sketches.append(sketches.sketch(orders, "o_orderpriority", "o_custkey", "o_totalprice"), path)
+    stored = spark.read.parquet(path)
+    told = sketches.read(stored.unionByName(sketches.merge(stored).withColumn("run", F.lit("all"))), _QUANTILES)
+    rows = orders.select(F.explode(F.array("o_orderpriority", F.lit("all"))).alias("run"), "o_custkey", F.col("o_totalprice").alias("price"))
+    exact = rows.join(F.broadcast(told.select("run", "quantiles")), "run").groupBy("run").agg(  # a row for each run
+        F.countDistinct("o_custkey").alias("exact"), F.count(F.lit(1)).alias("rows"), *(F.sum((F.col("price") <= F.get("quantiles", F.lit(k))).cast("int")).alias(f"below{k}") for k in range(len(_QUANTILES))))
+    close = F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact")
+    ranks = F.lit(True)
+    for k, q in enumerate(_QUANTILES):
+        ranks = ranks & (F.abs(F.col(f"below{k}") / F.col("rows") - q) <= 0.02)
+    return told.join(exact, "run").select("run", "n", close.alias("distinct_close"), ranks.alias("quantiles_close"))
+
+
+# ---------------------------------------------------------------- SQL
+
+
+@query(f"WITH {C.PRODUCTS_SQL} SELECT id, {C.sql_norm('titulo')} AS norm, {C.sql_size('titulo')} AS medida, {C.sql_quantity('titulo')} AS cantidad, array_to_string(list_sort({C.sql_numbers('titulo')}), '|') AS numbers FROM p")
+def q_sql_titles(spark, t):
+    """The text functions in SQL only."""
+    catalog.register(spark)
+    return spark.sql("SELECT id, title_normalized(titulo) AS norm, title_size(titulo) AS medida, title_quantity(titulo) AS cantidad, array_join(array_sort(title_numbers(titulo)), '|') AS numbers FROM {products}", products=C.products(t("part")))
+
+
+@query(C.ORACLE_SQL["q_specs_map"])
+def q_sql_specs(spark, t):
+    """The rows of q_specs_map by the table function, in SQL only."""
+    catalog.register(spark)
+    return spark.sql(
+        """WITH entries AS (SELECT event_id, array(named_struct('name', 'size', 'values', array('first')),
+             named_struct('name', 'color', 'values', CASE WHEN event_id % 4 = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE array(CAST(event_id % 5 AS STRING), 'z') END),
+             named_struct('name', '', 'values', array('x')), named_struct('name', 'size', 'values', array('last', 'y'))) AS e FROM {events})
+           SELECT event_id, s.key, s.value FROM entries, LATERAL specification_rows(e) AS s""",
+        events=t("events"),
+    )
+
+
 # ---------------------------------------------------------------- joins in time
 
 
