@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priceloom.session import keep
+
 from .envelope import CATALOGUE_A, CATALOGUE_B, envelope, parse, specifications
 
 # Defaults of absent fields, page sizes.
@@ -60,20 +62,22 @@ def url_b(base: str, link: Column) -> Column:
     return F.concat(F.lit(base), F.coalesce(link, F.lit("")))
 
 
-def parsed(pages: DataFrame, html: str, schema: str, where: list[str], strict: bool) -> DataFrame:
+def parsed(pages: DataFrame, html: str, schema: str, where: list[str], strict: bool, once: bool) -> DataFrame:
     """``pages`` without html but with ``__p``, a part of its JSON.
 
     A generator makes the column: filters on it are not pushed below, so a page is not parsed again for each of them.
+    ``once``: it is written to the shared folder, so that finding the last page and reading the rows parse a page once in all.
     """
     one = parse(envelope(F.col(html)), schema, strict)
     for name in where:
         one = one[name]
-    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != html], F.explode(F.array(one)).alias("__p"))
+    found = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != html], F.explode(F.array(one)).alias("__p"))
+    return keep(found, "pages") if once else found
 
 
-def catalogue_a(pages: DataFrame, base_url: str, page_no: str = "page_no", html: str = "html", strict: bool = False) -> DataFrame:
+def catalogue_a(pages: DataFrame, base_url: str, page_no: str = "page_no", html: str = "html", strict: bool = False, once: bool = False) -> DataFrame:
     """Store A's product rows (sku, marca, titulo, precio_clp, url) with page_no and pos."""
-    body = parsed(pages, html, CATALOGUE_A, ["props", "pageProps"], strict)
+    body = parsed(pages, html, CATALOGUE_A, ["props", "pageProps"], strict, once)
     p = F.col("__p")
     good = F.coalesce(F.size(p["results"]), F.lit(0)) > 0
     kept = prefix_until_empty(body, page_no, good, page_count_a(p["pagination"]["count"], p["pagination"]["perPage"]))
@@ -86,9 +90,9 @@ def catalogue_a(pages: DataFrame, base_url: str, page_no: str = "page_no", html:
     )
 
 
-def catalogue_b(pages: DataFrame, base_url: str, page_no: str = "page_no", html: str = "html", strict: bool = False) -> DataFrame:
+def catalogue_b(pages: DataFrame, base_url: str, page_no: str = "page_no", html: str = "html", strict: bool = False, once: bool = False) -> DataFrame:
     """Store B's product rows, with their specifications as a map."""
-    body = parsed(pages, html, CATALOGUE_B, ["props", "pageProps", "serverProductsResponse"], strict)
+    body = parsed(pages, html, CATALOGUE_B, ["props", "pageProps", "serverProductsResponse"], strict, once)
     p = F.col("__p")
     good = F.coalesce(F.size(p["productList"]), F.lit(0)) > 0
     kept = prefix_until_empty(body, page_no, good, page_count_b(p["recordsFiltered"]))
