@@ -13,6 +13,7 @@ from priceloom.operators import page_tree
 from priceloom.operators import search as S
 from priceloom.operators import standardize as Z
 from priceloom.session import scratch
+from priceloom.streaming import incremental
 
 from . import catalogue as C
 from .catalogue import query
@@ -92,6 +93,26 @@ def q_clustered_share(spark, t):
     return read.select("query_id", "store", "rows", F.col("rows_read").between(1, F.col("rows")).alias("some_read"))
 
 
+@query(C.ORACLE_SQL["q_compare_stores"])
+def q_clustered_compare(spark, t):
+    """q_compare_stores from a stored clustered index: the queries never pass through the driver."""
+    path, qs = scratch(spark, "clustered"), C.pair_queries(t)
+    clustered.write(C.index(t), path)
+    found = P.compare(qs, clustered.read(spark, path), candidates=clustered.top_candidates(spark, path, qs))
+    return found.select("query_id", "winner", F.round("saving", 4).alias("saving"))
+
+
+@query(C.ORACLE_SQL["q_compare_stores"])
+def q_clustered_stream(spark, t):
+    """The same queries as a stream, each micro-batch answered from the clustered index."""
+    asked, out, path = scratch(spark, "asked"), scratch(spark, "answers"), scratch(spark, "clustered")
+    C.pair_queries(t).select("query_id", "text", "vec").write.parquet(asked)
+    clustered.write(C.index(t), path)
+    stream = spark.readStream.schema("query_id bigint, text string, vec array<double>").parquet(asked)
+    incremental.answer_queries(stream, clustered.read(spark, path), out, scratch(spark, "progress"), find=lambda qs: clustered.top_candidates(qs.sparkSession, path, qs)).awaitTermination()
+    return spark.read.parquet(out).select("query_id", "winner", F.round("saving", 4).alias("saving"))
+
+
 # ---------------------------------------------------------------- page tree
 
 _PLAIN = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"

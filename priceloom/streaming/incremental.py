@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -12,16 +14,18 @@ from priceloom.operators import compare, enrich, search
 END_WORDS = ["salir", "exit", "quit"]
 
 
-def answer_queries(asked: DataFrame, index: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def answer_queries(asked: DataFrame, index: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, find: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Recommendations for a stream of queries (query_id, text, vec), appended to ``out`` once a micro-batch.
 
+    ``find``: gives the candidates of a batch's queries, as ``clustered.top_candidates`` does; otherwise ``index`` is scanned.
+
     Each micro-batch writes a folder named by its number, so a batch that is repeated after a failure
     replaces its own output.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         qs = search.queries(batch.where(~F.lower("text").isin(END_WORDS)))
-        compare.compare(qs, index).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        compare.compare(qs, index, candidates=find(qs) if find else None).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return asked.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -88,3 +88,13 @@ def test_recall_of_the_exact_top(spark, titles, tmp_path):
     assert len(got) == 20 and all(len(b) == 15 for b in got.values())
     print("recall", np.mean(kept))
     assert np.mean(kept) >= 0.9
+
+
+def test_answers_follow_from_the_encoder(spark):
+    """Every query has one answer a store, matched by the rule and priced by the piece where it is a match."""
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["q_trained_answers"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.query_id, r.store) for r in rows) == [(q, s) for q in (0, 100) for s in "ab"]
+    for r in rows:
+        assert r.is_match == (r.similarity >= 0.7 and r.number_match == 1) and (r.unit_price is not None) == r.is_match
