@@ -7,7 +7,7 @@
 3. Hierarchical empirical Bayes: the expected number of good documents (labels where known,
    otherwise the classifier's probability) is summed by path and by host with grouped aggregation.  A
    host's rate is shrunk towards the global rate with a strength estimated from the spread of the host
-   rates (method of moments, held within ``STRENGTH``); a path's rate is shrunk towards its host's in the
+   rates by the method of moments; a path's rate is shrunk towards its host's in the
    same way.  Sparse sites stay near their parent.
 4. A document's posterior is its log-likelihood ratio plus the logit of its path's shrunk rate.  The
    document's own vote is left out of that rate, of its host's and of the global one, so a label
@@ -35,8 +35,9 @@ from .quality_rules import measure
 
 FEATURES = ["log_words", "mean_word", "symbols_per_word", "line_coverage", "coverage_5", "coverage_8", "top_2", "top_3", "upper_share", "digit_share", "mark_share", "distinct_share", "words_per_line"]
 TRAIN_ROWS, PENALTY, ROUNDS, THRESHOLD = 20_000, 1.0, 30, 0.5
-#: Bounds of the shrinkage strength, in documents.
-STRENGTH = (1.0, 1000.0)
+#: Shrinkage strengths, in documents, that stand for none at all and for an unlimited one (no spread beyond chance): they
+#: keep the division defined and change no estimate between them.
+STRENGTH = (1e-6, 1e12)
 
 UPPER, DIGIT = C._table(bytes(range(65, 91))), C._table(bytes(range(48, 58)))
 MARK = C._table(bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
