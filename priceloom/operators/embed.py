@@ -28,7 +28,7 @@ from priceloom.functions import text as X
 from priceloom.session import keep
 
 BUCKETS, GRAMS, RANK, SWEEPS, SEED = 1 << 16, (3, 4), 128, 4, 42
-ROWS = 2048  # texts whose features a task multiplies at once
+ROWS = 256  # texts whose features a task multiplies at once
 
 MODEL = "bucket int, n bigint, idf double, vec array<float>"
 
@@ -65,23 +65,18 @@ class Weights:
         self.row, self.at = code // max(1, len(idf)), code % max(1, len(idf))
         weight = (1 + np.log(times)) * idf[self.at]
         norm = np.sqrt(np.bincount(self.row, weight * weight, len(lists)))
-        self.weight, self.n = weight / norm[self.row], len(lists)
+        # a few rows hold few different features, so a dense block of these is small and multiplied at once
+        self.met, column = np.unique(self.at, return_inverse=True)
+        self.block = np.zeros((len(lists), len(self.met)))
+        self.block[self.row, column] = weight / norm[self.row]
 
     def times(self, basis: np.ndarray) -> np.ndarray:
         """rows x rank: each row's weighted sum of the basis' vectors."""
-        out = np.zeros((self.n, basis.shape[1]))
-        if len(self.row):
-            first = np.flatnonzero(np.append(True, self.row[1:] != self.row[:-1]))
-            out[self.row[first]] = np.add.reduceat(self.weight[:, None] * basis[self.at], first)
-        return out
+        return self.block @ basis[self.met]
 
     def add_back(self, values: np.ndarray, into: np.ndarray) -> None:
         """Add to each feature of ``into`` its weighted sum of the rows' ``values``."""
-        if len(self.row):
-            order = np.argsort(self.at, kind="stable")
-            at = self.at[order]
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            into[at[first]] += np.add.reduceat(self.weight[order, None] * values[self.row[order]], first)
+        into[self.met] += self.block.T @ values
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.Array]:
