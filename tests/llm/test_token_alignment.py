@@ -120,3 +120,28 @@ def test_cuts(spark):
     pieces, owner = pair.pieces(C.Flat(pa.array(["ab cd  e", None, "é ü", "x   y", "a — b", "日 本"])))
     assert [p.decode() for p in pieces.to_pylist()] == [" ab", " cd  e", " ", " é", " ü", " x   y", " a — b", " 日", " 本"]
     assert owner.tolist() == [0, 0, 1, 2, 2, 3, 4, 5, 5]
+
+
+def test_scores_follow_a_store_that_forgets():
+    """Sums over links by row stay right while rows are forgotten and made again."""
+    from priceloom.llm.word_store import WordStore
+
+    pair = A.pair_of(*PATHS)
+    store = WordStore(pair.make, [np.int64, np.uint8, np.int64], words=6)
+    texts = [t for t in ALL if t] * 2
+    whole = pair.store()
+    links = np.unique(whole.columns[0].take(A.rows_of(pair, whole, pa.array(texts))[0])[0])[::2]  # every other link is known
+    known = (links, np.arange(len(links)) + 1, np.arange(len(links)) % 2)
+    scores = A.Scores("a", store, known)
+    for k in range(0, len(texts), 3):
+        rows, owner = A.rows_of(pair, store, pa.array(texts[k : k + 3]))
+        held, size = store.columns[0].take(rows)
+        found, best, count = A.scored(known, held)
+        assert 0 < found.sum() < len(found) or len(found) < 5
+        got = scores.take(rows)
+        assert got.sum(0).tolist() == [best.sum(), count.sum()]
+        assert np.array_equal(got, A.totals(np.stack([best, count], 1), np.concatenate([[0], np.cumsum(size)])))
+        data, width = store.columns[1].take_bytes(rows)
+        plain, width2 = store.columns[1].take(rows)
+        assert np.array_equal(data, plain) and np.array_equal(width, width2)
+    assert store.epoch > 5
