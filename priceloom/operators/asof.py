@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 MOST = 1 << 20
 PIECES = 64  # that such a key is cut into
+SPREAD = 1024  # for rows without a key or time
 ACCURACY = 10_000  # of the quantiles that keys are cut at
 
 
@@ -33,20 +34,22 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, right_time
     if clash := [c for c in [*values, f"{time}_right"] if c in left.columns]:
         raise ValueError(f"both sides have the columns {clash}")
     kind = left.schema[time].dataType
-    # a null key is a key of the left rows' own
     lefts = left.select(F.col(key).alias("k"), F.col(time).alias("t"), F.lit(not strict).cast("int").alias("side"), F.struct(*left.columns).alias("l"), F.lit(None).cast(right.select(F.struct(right_time, *values).alias("r")).schema["r"].dataType).alias("r"))
     rights = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
     rights = rights.select(F.col(key).cast(left.schema[key].dataType).alias("k"), F.col(right_time).cast(kind).alias("t"), F.lit(int(strict)).alias("side"), F.lit(None).cast(lefts.schema["l"].dataType).alias("l"), F.struct(right_time, *values).alias("r"))
     rows = lefts.union(rights)
 
-    at = _number(F.col("t"), kind)
-    hot = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(at, [i / PIECES for i in range(1, PIECES)], ACCURACY).alias("cuts")).where((F.col("n") > most) & F.col("k").isNotNull())
-    cut = not hot.isEmpty()
+    large = rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("k").alias("hk"))
+    cut = not large.isEmpty()
     if cut:
-        hot = hot.select(F.col("k").alias("hk"), F.array_distinct("cuts").alias("cuts"))
-        rows = rows.join(hot, F.col("k") == F.col("hk"), "left").withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda c: c < at)), F.lit(0))).drop("hk", "cuts")
+        at = _number(F.col("t"), kind)
+        cuts = rows.join(large, F.col("k") == F.col("hk")).groupBy("hk").agg(F.array_distinct(F.percentile_approx(at, [i / PIECES for i in range(1, PIECES)], ACCURACY)).alias("cuts"))
+        rows = rows.join(cuts, F.col("k") == F.col("hk"), "left").withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda c: c < at)), F.lit(0))).drop("hk", "cuts")
     else:
         rows = rows.withColumn("piece", F.lit(0))
+    # rows that match nothing are dealt anywhere, as they may be many
+    anywhere = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")
+    rows = rows.withColumn("piece", F.when(F.col("k").isNull() | F.col("t").isNull(), anywhere).otherwise(F.col("piece")))
 
     found = _last(F.col("r"), Window.partitionBy("k", "piece").orderBy("t", "side", "r").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     walked = rows.withColumn("found", found).where(F.col("l").isNotNull())
