@@ -41,8 +41,8 @@ def fetch(urls: DataFrame, get: Callable[[str], str | None], url: str = "url", p
 
 
 def details(products: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Products with the html of their own page, null where there is none."""
-    return products.join(pages.select(url, "html"), url, "left")
+    """Products with the html of their own page, null where there is none; a page met twice doesn't repeat its products."""
+    return products.join(pages.groupBy(url).agg(F.min("html").alias("html")), url, "left")
 
 
 def page_number(url: Column) -> Column:

@@ -1,10 +1,12 @@
 """Traps of extraction, standardisation, enrichment, search and comparison."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from priceloom.operators import catalogue as K
 from priceloom.operators import compare as P
 from priceloom.operators import enrich as N
@@ -161,6 +163,19 @@ def test_sources(spark, tmp_path):
     assert pages.details(urls, urls.limit(0).withColumn("html", F.lit("x"))).where("html IS NULL").count() == 3
 
 
+def test_a_detail_page_met_twice_repeats_no_product(spark):
+    base = spark.createDataFrame([(1, "u"), (2, "v"), (3, "w")], "page_id long, url string")
+    got = pages.details(base, spark.createDataFrame([("u", "x"), ("u", None), ("u", "y"), ("v", "z")], "url string, html string"))
+    assert sorted(map(tuple, got.select("page_id", "html").collect()), key=str) == [(1, "x"), (2, "z"), (3, None)]
+
+
+def test_details_of_pages_that_share_a_url(spark, tmp_path):
+    rows = [(k, "https://s.example/same", f"<p>{k}</p>") for k in range(6)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.html_md5 for r in entry.queries()["q_details"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(html.encode()).hexdigest() if k % 3 != 2 else None for k, _, html in rows}
+
+
 def test_specifications_ignore_the_session_policy(spark):
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
     df = spark.sql("SELECT array(named_struct('k', 'a', 'v', '1'), named_struct('k', 'a', 'v', '2')) AS p")
