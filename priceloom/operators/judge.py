@@ -4,7 +4,8 @@ Gradient-boosted trees over the similarity and the agreement of numbers; their d
 labelled pairs.  A logistic curve, fitted on pairs that the trees have not seen, turns their score into ``match_probability``.  The
 whole is one ``PipelineModel`` for ``search.pick``: ``prediction`` is 1 for a match.
 
-Labelled pairs may be many: at most ``ROWS`` of them, with the least hashes, are learned from.
+Labelled pairs may be many, and many alike: equal ones are counted and weigh as often as they occur; at most ``ROWS`` different
+ones, with the least hashes, are learned from.  Trees cut at up to ``BINS`` places of a feature, so a cut lies within 1 / ``BINS`` of the pairs.
 """
 
 from __future__ import annotations
@@ -19,22 +20,22 @@ from pyspark.sql import functions as F
 
 from priceloom.session import keep
 
-ROWS, FOLDS, DEPTHS, TREES, SEED = 20_000, 3, (2, 3), 10, 42
-FEATURES, LABEL = ["similitud_texto", "misma_dimension"], "es_match"
+ROWS, FOLDS, DEPTHS, TREES, BINS, SEED = 20_000, 3, (2, 3), 10, 256, 42
+FEATURES, LABEL, WEIGHT = ["similitud_texto", "misma_dimension"], "es_match", "times"
 
 
 def fit(labelled: DataFrame, rows: int = ROWS, folds: int = FOLDS, depths: tuple[int, ...] = DEPTHS, trees: int = TREES, seed: int = SEED) -> PipelineModel:
     """A judge of ``labelled`` (columns FEATURES and LABEL, 0 or 1; rows with a null are left out)."""
     h = F.xxhash64(*FEATURES, LABEL, F.lit(seed))
-    known = keep(labelled.select(*FEATURES, F.col(LABEL).cast("int").alias(LABEL)).dropna().withColumn("h", h).orderBy("h", *FEATURES, LABEL).limit(rows), "judged")
+    known = keep(labelled.select(*FEATURES, F.col(LABEL).cast("int").alias(LABEL)).dropna().groupBy(*FEATURES, LABEL).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)).withColumn("h", h).orderBy("h", *FEATURES, LABEL).limit(rows), "judged")
     held = F.pmod("h", F.lit(5)) == 0  # a fifth for the curve
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    boosted = GBTClassifier(labelCol=LABEL, featuresCol="features", predictionCol="tree_prediction", maxIter=trees, seed=seed).setRawPredictionCol("tree_score").setProbabilityCol("tree_probability")
+    boosted = GBTClassifier(labelCol=LABEL, weightCol=WEIGHT, maxBins=BINS, featuresCol="features", predictionCol="tree_prediction", maxIter=trees, seed=seed).setRawPredictionCol("tree_score").setProbabilityCol("tree_probability")
     chosen = CrossValidator(
         estimator=Pipeline(stages=[assemble, boosted]), estimatorParamMaps=ParamGridBuilder().addGrid(boosted.maxDepth, list(depths)).build(),
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="tree_score", metricName="areaUnderPR"), numFolds=folds, seed=seed,
+        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, weightCol=WEIGHT, rawPredictionCol="tree_score", metricName="areaUnderPR"), numFolds=folds, seed=seed,
     ).fit(known.where(~held)).bestModel
-    curve = LogisticRegression(labelCol=LABEL, featuresCol="tree_score", rawPredictionCol="match_score", probabilityCol="match_probability", predictionCol="prediction")
+    curve = LogisticRegression(labelCol=LABEL, weightCol=WEIGHT, featuresCol="tree_score", rawPredictionCol="match_score", probabilityCol="match_probability", predictionCol="prediction")
     return PipelineModel([*chosen.stages, curve.fit(chosen.transform(known.where(held)))])
 
 

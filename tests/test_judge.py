@@ -24,6 +24,13 @@ def test_agrees_and_survives_save_and_load(spark, tmp_path):
     assert all(r.match_probability > 0.5 for r in rows if r.is_match) and all(0 <= r.match_probability <= 1 for r in rows)
 
 
+def test_many_equal_pairs_hide_no_others(spark):
+    """2000 different pairs, 40 times each, and fewer rows to learn from than there are."""
+    alike = pairs(spark, 2000).crossJoin(spark.range(40).select(F.col("id").alias("copy")))
+    told = J.judge(pairs(spark, 2000), J.fit(alike, rows=1000, folds=2, depths=(2,)))
+    assert told.where((F.abs(F.col("similitud_texto") - S.CUT) > BAND) & (F.col("is_match") != (F.col("es_match") == 1))).count() == 0
+
+
 def test_probabilities_are_calibrated(spark):
     """Labels with noise: of pairs that are told p, about a share p is a match."""
     noisy = pairs(spark).withColumn("es_match", F.when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, 1 - F.col("es_match")).otherwise(F.col("es_match")))
