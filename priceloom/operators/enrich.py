@@ -41,8 +41,13 @@ def one_page(details: DataFrame, url: str, html: str) -> DataFrame:
 
 def enrich_a(products: DataFrame, details: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Store A: description and specification table of each product's page; defaults where the page is missing."""
-    joined = products.drop("descripcion", "especificaciones").join(one_page(details, url, html), url, "left")
-    return page_tree.details(joined, "__html").drop("__html")
+    products = products.drop("descripcion", "especificaciones")
+    if products.isStreaming:
+        return page_tree.details(products.join(one_page(details, url, html), url, "left"), "__html").drop("__html")
+    # each page that a product has is parsed once, dealt to tasks by its url; after a broadcast of the pages few tasks would read the products
+    wanted = one_page(details.join(products.select(url), url, "left_semi"), url, html)
+    joined = products.join(page_tree.details(wanted, "__html").drop("__html"), url, "left")
+    return joined.withColumns({"descripcion": F.coalesce("descripcion", F.lit(E.NO_DESCRIPTION)), "especificaciones": F.coalesce("especificaciones", F.create_map().cast("map<string,string>"))})
 
 
 def enrich_b(products: DataFrame, details: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

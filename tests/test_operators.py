@@ -207,3 +207,12 @@ def test_a_page_met_twice_repeats_no_product_and_the_first_row_stays(spark):
     pages_ = spark.createDataFrame([("u", "<p>"), ("u", "<p>"), ("v", "<p>")], "url string, html string")
     first = N.pending(base, base.limit(0))
     assert [r.url for r in first.collect()] == ["u"] and N.enrich_a(base, pages_).count() == 2 and first.columns == base.columns
+
+
+def test_pages_are_parsed_before_they_meet_their_products(spark):
+    base = spark.createDataFrame([("1", "u"), ("2", "u"), ("3", None), ("4", "w")], "sku string, url string")
+    html = '<div class="fb-product-information-tab__copy">d</div><table class="specification-table"><tr><td class="property-name">k</td><td class="property-value">v</td></tr></table>'
+    found = N.enrich_a(base, spark.createDataFrame([("u", html), ("x", html)], "url string, html string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("MapInArrow")
+    assert {r.sku: (r.descripcion, r.especificaciones) for r in found.collect()} == {"1": ("d", {"k": "v"}), "2": ("d", {"k": "v"}), "3": ("Sin descripción", {}), "4": ("Sin descripción", {})}
