@@ -6,7 +6,10 @@ for n of N texts, and a text's weights are scaled to length one.
 
 The projection is the space of the leading right singular vectors of the texts x features matrix, found by subspace iteration:
 each sweep multiplies the basis by the matrix and its transpose, as a sum by bucket of what tasks have summed before, and makes it
-orthonormal.  A sweep reads the texts once and shuffles a row for each bucket and task.
+orthonormal.  A sweep reads the texts' words once and shuffles a row for each bucket and task.
+
+Texts share most of their words, so a task works out the features of a word once, as long as it knows the word.  Work is dealt by the
+partitions of the given rows: few files make few tasks, see ``session.spread``.
 
 The model is a table (bucket, n, idf, vec) of at most ``BUCKETS`` rows, whatever the corpus: that bounds what
 the driver holds between sweeps and what encoders broadcast (``rank`` * 4 bytes a bucket).
@@ -15,6 +18,7 @@ the driver holds between sweeps and what encoders broadcast (``rank`` * 4 bytes
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -28,47 +32,125 @@ from priceloom.functions import text as X
 from priceloom.session import keep
 
 BUCKETS, GRAMS, RANK, SWEEPS, SEED = 1 << 16, (3, 4), 128, 4, 42
-ROWS = 256  # texts whose features a task multiplies at once
+ROWS, CELLS = 256, 1 << 22  # texts whose features a task multiplies at once, and cells of their block at most (but one text's)
+KNOWN = 1 << 20  # features of known words that a task holds at most
 
 MODEL = "bucket int, n bigint, idf double, vec array<float>"
 
 
+def _words(text: Column) -> Column:
+    return X.tokens(X.normalize(text))
+
+
 def features(text: Column, buckets: int = BUCKETS) -> Column:
     """The feature buckets of a text, with repeats; null gives none."""
-    marked = F.transform(X.tokens(X.normalize(text)), lambda w: F.concat(F.lit("<"), w, F.lit(">")))
 
-    def parts(n: int) -> Column:
-        cut = lambda m: F.transform(F.sequence(F.lit(1), F.length(m) - (n - 1)), lambda i: F.substring(m, i, F.lit(n)))
-        return F.flatten(F.transform(F.filter(marked, lambda m: F.length(m) >= n), cut))
+    @F.arrow_udf("array<int>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Known(buckets)
+        for words in batches:
+            row, bucket = known.features(words)
+            ends = np.searchsorted(row, np.arange(len(words) + 1))
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bucket.astype(np.int32)))
 
-    found = F.concat(marked, *map(parts, GRAMS))
-    return F.transform(found, lambda g: (F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets).cast("int"))
+    return found(_words(text))
 
 
 def document_frequencies(texts: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n): in how many texts each bucket occurs."""
-    return texts.select(F.explode(F.array_distinct(features(F.col(text), buckets))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return _frequencies(texts.select(_words(F.col(text))), buckets)
+
+
+def _frequencies(words: DataFrame, buckets: int) -> DataFrame:
+    def count(batches):
+        known, n = Known(buckets), np.zeros(buckets, np.int64)
+        for batch in batches:
+            for rows, row, bucket in known.blocks(batch.column(0)):
+                met, times = _times(rows, row, bucket, buckets)
+                n[met] += np.count_nonzero(times, axis=0)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(n[met])], names=["bucket", "n"])
+
+    return words.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def inverse_frequency(n: Column, total: Column) -> Column:
     return F.log((1 + total) / (1 + n)) + 1
 
 
+class Known:
+    """The feature buckets of words, made once for each word as long as it is known."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.known, self.held = buckets, {}, 0
+
+    def of(self, word: str) -> np.ndarray:
+        made = self.known.get(word)
+        if made is None:
+            marked = f"<{word}>"
+            parts = [marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
+            made = np.array([int.from_bytes(md5(p.encode()).digest()[:4], "big") for p in parts], np.int64) % self.buckets
+            if self.held + len(made) > KNOWN:
+                self.known, self.held = {}, 0
+            self.known[word] = made
+            self.held += len(made)
+        return made
+
+    def features(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and bucket of each feature of Arrow lists of words, row by row."""
+        each = words.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy())
+        code = each.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        made = [self.of(w) for w in each.dictionary.to_pylist()]
+        if not made:
+            return row, code
+        size = np.array([len(m) for m in made])
+        n, start = size[code], (np.cumsum(size) - size)[code]
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(row, n), np.concatenate(made)[at]
+
+    def blocks(self, words: pa.Array, place: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(texts, row, bucket) of a few rows at a time, in order; ``place`` numbers the buckets that count, -1: none."""
+        for at in range(0, len(words), ROWS):
+            part = words.slice(at, ROWS)
+            row, bucket = self.features(part)
+            if place is not None:
+                bucket = place[bucket]
+                row, bucket = row[bucket >= 0], bucket[bucket >= 0]
+            yield from _halved(len(part), row, bucket)
+
+
+def _halved(rows: int, row: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Halves, until a block of texts by different features has ``CELLS`` cells at most."""
+    if rows == 1 or rows * len(at) <= CELLS or rows * len(np.unique(at)) <= CELLS:
+        yield rows, row, at
+        return
+    half = rows // 2
+    cut = np.searchsorted(row, half)
+    yield from _halved(half, row[:cut], at[:cut])
+    yield from _halved(rows - half, row[cut:] - half, at[cut:])
+
+
+def _times(rows: int, row: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features that occur, and how often each does in each row."""
+    seen = np.zeros(width, bool)
+    seen[at] = True
+    met = np.flatnonzero(seen)
+    column = np.zeros(width, np.int64)
+    column[met] = np.arange(len(met))
+    return met, np.bincount(row * len(met) + column[at], minlength=rows * len(met)).reshape(rows, len(met))
+
+
 class Weights:
-    """Arrow lists of buckets as the entries of a sparse matrix with rows of length one; buckets the model lacks weigh nothing."""
-
-    def __init__(self, lists: pa.Array, idf: np.ndarray, place: np.ndarray):
-        size = lists.value_lengths().fill_null(0).to_numpy()
-        flat = lists.flatten().to_numpy().astype(np.int64)
-        row, at = np.repeat(np.arange(len(lists)), size), place[flat]
-        code, times = np.unique((row * len(idf) + at)[at >= 0], return_counts=True)
-        self.row, self.at = code // max(1, len(idf)), code % max(1, len(idf))
-        weight = (1 + np.log(times)) * idf[self.at]
-        norm = np.sqrt(np.bincount(self.row, weight * weight, len(lists)))
-        # a few rows hold few different features, so a dense block of these is small and multiplied at once
-        self.met, column = np.unique(self.at, return_inverse=True)
-        self.block = np.zeros((len(lists), len(self.met)))
-        self.block[self.row, column] = weight / norm[self.row]
+    """A few texts' features as a dense block with rows of length one: they hold few different features, so it is small and multiplied at once."""
+
+    def __init__(self, rows: int, row: np.ndarray, at: np.ndarray, idf: np.ndarray):
+        self.met, times = _times(rows, row, at, len(idf))
+        level = np.zeros(times.max(initial=0) + 1)
+        level[1:] = 1 + np.log(np.arange(1, len(level)))
+        self.block = level[times] * idf[self.met]
+        norm = np.sqrt(np.einsum("ij,ij->i", self.block, self.block))[:, None]
+        np.divide(self.block, norm, out=self.block, where=norm > 0)
 
     def times(self, basis: np.ndarray) -> np.ndarray:
         """rows x rank: each row's weighted sum of the basis' vectors."""
@@ -79,11 +161,6 @@ class Weights:
         into[self.met] += self.block.T @ values
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.Array]:
-    for at in range(0, batch.num_rows, ROWS):
-        yield batch.column(0).slice(at, ROWS)
-
-
 def _places(found: np.ndarray, buckets: int) -> np.ndarray:
     place = np.full(buckets, -1, np.int64)
     place[found] = np.arange(len(found))
@@ -93,9 +170,9 @@ def _places(found: np.ndarray, buckets: int) -> np.ndarray:
 def fit(texts: DataFrame, text: str = "text", rank: int = RANK, buckets: int = BUCKETS, sweeps: int = SWEEPS, seed: int = SEED) -> DataFrame:
     """The model table of all ``texts``."""
     spark = texts.sparkSession
-    # the features are written once, as every sweep reads them
-    rows = keep(texts.where(F.col(text).isNotNull()).select(features(F.col(text), buckets).alias("features")), "features")
-    counted = rows.select(F.explode(F.array_distinct("features")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    # the words are written once, as every sweep reads them; sorted, so that a block's texts share features
+    rows = keep(texts.where(F.col(text).isNotNull()).select(_words(F.col(text)).alias("words")).sortWithinPartitions("words"), "words")
+    counted = _frequencies(rows, buckets).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row
     counted = counted.select("bucket", "n", inverse_frequency(F.col("n"), F.col("total")).alias("idf")).orderBy("bucket").toPandas()  # ``buckets`` rows at most
     found, idf = counted.bucket.to_numpy(), counted.idf.to_numpy()
     place, rank = _places(found, buckets), min(rank, len(found))
@@ -105,10 +182,10 @@ def fit(texts: DataFrame, text: str = "text", rank: int = RANK, buckets: int = B
 
         def multiply(batches, held=held):
             basis, idf, place = held.value
-            out = np.zeros_like(basis)
+            known, out = Known(buckets), np.zeros_like(basis)
             for batch in batches:
-                for part in _slices(batch):
-                    w = Weights(part, idf, place)
+                for block in known.blocks(batch.column(0), place):
+                    w = Weights(*block, idf)
                     w.add_back(w.times(basis), out)
             met = np.flatnonzero(out.any(1))
             for at in range(0, len(met), 4096):
@@ -141,14 +218,16 @@ def encode(df: DataFrame, model: DataFrame, text: str = "text", vector: str = "v
     vectors = table.column("vec").combine_chunks()
     basis = vectors.flatten().to_numpy().reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0), np.float32)
     held = df.sparkSession.sparkContext.broadcast((basis, table.column("idf").to_numpy(), _places(table.column("bucket").to_numpy(), buckets)))
-    src = df.select(features(F.col(text), buckets).alias("features"), F.struct("*").alias("row"))
+    src = df.select(_words(F.col(text)).alias("words"), F.struct("*").alias("row"))
 
     def run(batches):
         basis, idf, place = held.value
+        known = Known(buckets)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                found = Weights(part.column(0), idf, place).times(basis).astype(np.float32)
+            at = 0
+            for block in known.blocks(batch.column(0), place):
+                found, part = Weights(*block, idf).times(basis).astype(np.float32), batch.slice(at, block[0])
+                at += block[0]
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * basis.shape[1]), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(1), vectors], names=["row", "vec"])
 

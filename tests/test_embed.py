@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,44 @@ def test_answers_follow_from_the_encoder(spark):
     assert sorted((r.query_id, r.store) for r in rows) == [(q, s) for q in (0, 100) for s in "ab"]
     for r in rows:
         assert r.is_match == (r.similarity >= 0.7 and r.number_match == 1) and (r.unit_price is not None) == r.is_match
+
+
+def test_features_of_words_that_are_forgotten_and_of_halved_blocks(monkeypatch):
+    """Neither the words that a task still knows nor the size of its blocks change a weight."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(dict.fromkeys("".join(rng.choice(list("abñ9"), rng.integers(1, 6))) for _ in range(rng.integers(0, 9)))) for _ in range(200)]
+    lists, idf = pa.array([t.split() for t in texts], pa.list_(pa.string())), rng.random(M.BUCKETS) + 1
+
+    def weights():
+        known, out = M.Known(M.BUCKETS), []
+        for batch in (lists[:70], lists[70:]):
+            for rows, row, at in known.blocks(batch):
+                w = M.Weights(rows, row, at, idf)
+                out += [dict(zip(w.met[b > 0].tolist(), b[b > 0].tolist())) for b in w.block]
+        return out
+
+    want = []
+    for t in texts:
+        row = {b: (1 + math.log(f)) * idf[b] for b, f in Counter(buckets_of(t)).items()}
+        norm = math.sqrt(sum(v * v for v in row.values()))
+        want.append({b: pytest.approx(v / norm) for b, v in row.items()})
+    for known, cells in ((M.KNOWN, M.CELLS), (20, M.CELLS), (M.KNOWN, 50)):
+        monkeypatch.setattr(M, "KNOWN", known)
+        monkeypatch.setattr(M, "CELLS", cells)
+        assert weights() == want
+
+
+def test_one_file_is_dealt_to_many_tasks(spark, monkeypatch):
+    """The table of parts is one small file, which was one task from text to vector."""
+    import __spark_entry__ as entry
+
+    class Enough(Exception):
+        pass
+
+    def fit(texts, text):
+        raise Enough(texts.rdd.getNumPartitions())
+
+    monkeypatch.setattr(M, "fit", fit)
+    with pytest.raises(Enough) as found:
+        entry.queries()["q_trained_answers"](spark, "/root/testdata/sf0.01")
+    assert found.value.args[0] > 1

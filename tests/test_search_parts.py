@@ -53,3 +53,16 @@ def test_memory_of_many_queries():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6, peak
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    """Queries of equal vector and words, without a vector too, share one search and have each their own answer."""
+    qs, rows = [(i + 40 * n, v, t) for n in range(3) for i, v, t in made(40, 1)], made(300, 2)
+    asked = spark.createDataFrame(qs, "query_id bigint, vec array<double>, tokens array<string>")
+    index = spark.createDataFrame(rows, "idx bigint, vec array<float>, tokens array<string>").withColumn("store", F.when(F.col("idx") % 2 == 0, "a").otherwise("b"))
+    met, meet = [], S.meet
+    monkeypatch.setattr(S, "meet", lambda asked, rows, n, *rest: met.append(n) or meet(asked, rows, n, *rest))
+    got = {}
+    for r in S.top_candidates(asked, index, 5).orderBy("rank").collect():
+        got.setdefault((r.query_id, r.store), []).append((round(r.score, 9), r.idx))
+    assert met[0] <= 40 and got == brute(qs, rows, 5)
