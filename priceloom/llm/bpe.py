@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
+#: ``BUCKETS`` is a power of two, so that a mask finds the bucket.
 HOT, LONG, BUCKETS = 1 << 20, 256, 1 << 16
 #: Characters of a plan's description; the driver keeps those of past queries, and the rank map would fill them.
 PLAN_CHARS = 1 << 16
@@ -65,7 +66,8 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is computed once; in a struct, as Spark keeps a struct's type and would derive that of nested bodies again for each value."""
+    return F.get(F.transform(F.array(value), lambda v: F.struct(body(v).alias("v"))), F.lit(0))["v"]
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
@@ -80,7 +82,7 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
     def encode(table: Column, piece: Column) -> Column:
         def rank(start: Column, stop: Column) -> Column:
             part = F.substring(piece, start + 1, stop - start)
-            return F.coalesce(F.try_element_at(F.get(table, F.pmod(F.crc32(part.cast("binary")), F.lit(BUCKETS)).cast("int")), part), F.lit(_NONE))
+            return F.coalesce(F.try_element_at(F.get(table, F.crc32(part.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")), part), F.lit(_NONE))
 
         def pair(a: Column, b: Column, c: Column) -> Column:
             places = F.shiftleft(F.shiftleft(a, _WIDTH).bitwiseOR(b).cast("bigint"), _WIDTH).bitwiseOR(c)
@@ -90,8 +92,14 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
 
         def merge(pairs: Column, _: Column) -> Column:
             def at(low: Column) -> Column:
-                a, b, c = left(low), middle(low), right(low)
-                return F.transform(F.filter(pairs, lambda v: v != low), lambda v: F.when(middle(v) == a, pair(left(v), a, c)).when(left(v) == b, pair(a, c, right(v))).otherwise(v))
+                a, c = left(low), right(low)
+
+                def renew(ends: Column, starts: Column) -> Column:
+                    before, after = (lambda v: v.bitwiseAND(MOST << _WIDTH) == ends), (lambda v: v.bitwiseAND(MOST << 2 * _WIDTH) == starts)
+                    return F.transform(F.array_remove(pairs, low), lambda v: F.when(before(v), pair(left(v), a, c)).when(after(v), pair(a, c, right(v))).otherwise(v))
+
+                # the neighbours are told by a mask: the one before has a in the middle, the one after has b on the left
+                return _let(F.shiftright(low, _WIDTH).bitwiseAND(MOST << _WIDTH), lambda ends: _let(F.shiftleft(low, _WIDTH).bitwiseAND(MOST << 2 * _WIDTH), lambda starts: renew(ends, starts)))
 
             return _let(F.array_min(pairs), lambda low: F.when(low < (_NONE << 3 * _WIDTH), at(low)).otherwise(pairs))
 
