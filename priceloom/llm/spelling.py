@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LETTERS, LEAST, EVERY, RATIO, CROWD = 5, 3, 97, 2, 64
-#: Bytes of text that are counted at once, words that a task merges at once, and the longest run whose checksums are shifted by table.
-CHUNK_BYTES, MERGE, SHORT = 1 << 22, 1 << 20, 48
+#: Bytes of text that are counted at once, words and bytes of words that a task merges at once, and the longest run whose checksums are shifted by table.
+CHUNK_BYTES, MERGE, MERGE_BYTES, SHORT = 1 << 22, 1 << 20, 1 << 26, 48
 
 IS_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 #: crc32 of one more zero byte, by the lowest byte so far.
@@ -90,21 +90,27 @@ def count_words(df: DataFrame, doc_id: str = "doc_id", text: str = "text", every
     src = df.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches):
-        held, rows = [], 0
+        held, rows, size = [], 0, 0
         for batch in batches:
             for part in C.chunks(batch, "text", CHUNK_BYTES):
                 words, n = chunk_counts(part.column(0), part.column(1), every, letters)
                 held.append(pa.table({"word": words, "n": n}))
-                rows += len(words)
-                if rows >= MERGE:
-                    held, rows = [merged(held)], 0
-                    if len(held[0]) >= MERGE // 2:
-                        yield from held.pop().to_batches(1 << 16)
+                rows, size = rows + len(words), size + words.nbytes
+                if rows >= MERGE or size >= MERGE_BYTES:
+                    held, rows, size = [merged(held)], 0, 0
+                    if len(held[0]) >= MERGE // 2 or held[0].nbytes >= MERGE_BYTES // 2:
+                        yield from handed_on(held.pop())
         if held:
-            yield from merged(held).to_batches(1 << 16)
+            yield from handed_on(merged(held))
 
     def merged(held: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).cast(pa.schema([("word", pa.string()), ("n", pa.int64())]))
+        """Of the same types as its parts, as it may be one of them next time."""
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    def handed_on(counts: pa.Table):
+        for batch in counts.to_batches(1 << 16):
+            for part in C.chunks(batch, "word", CHUNK_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1)], names=["word", "n"])
 
     return src.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -77,6 +77,16 @@ def test_against_brute_force(spark, crowd):
     assert got(S.variants(frame(spark, texts), crowd=crowd)) == want
 
 
+@pytest.mark.parametrize("words, size", [(2000, 1 << 26), (20_000, 60_000), (1, 1)])
+def test_tasks_that_merge_often(spark, monkeypatch, words, size):
+    """Counts are kept and merged again, or handed on, many times in a task."""
+    monkeypatch.setattr(S, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(S, "MERGE", words)
+    monkeypatch.setattr(S, "MERGE_BYTES", size, raising=False)
+    texts = corpus(400) + TEXTS + CHAIN
+    assert got(S.variants(frame(spark, texts, parts=1))) == brute(list(enumerate(texts)))
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "stone stones " * 40), (7, "stone store " * 30), (7, "stone store " * 30), (None, None)] + [(k, "stones notes") for k in range(300)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id bigint, text string, word string, n int").repartition(3)
